@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialogmill.operators.tokens import (
+    MAX_LENGTH,
+    attention_mask,
+    masked_labels,
+    pad_right,
+    truncate,
+)
+from dialogmill.operators.vocab import SpecialTokens
+
 # The batch settings of the reference set-up.
 ROWS_PER_MICRO_BATCH = 2
 MICRO_BATCHES_PER_STEP = 16
@@ -46,7 +55,7 @@ def batch_plan(
     per_step = micro_rows * micros
     keys = rows.select(key)
     totals = keys.agg(F.count("*").alias("n"))
-    n = totals.scalar()
+    n = F.coalesce(totals.scalar(), F.lit(0))
     steps_per_epoch = F.ceil(n / F.lit(per_step))
     n_epochs = (
         F.lit(epochs) if epochs is not None
@@ -57,7 +66,7 @@ def batch_plan(
     uses = keys.withColumn("epoch", F.explode(F.sequence(F.lit(0), n_epochs - 1)))
     hashed = uses.withColumn("_h", order_key(seed, F.col("epoch"), F.col(key)))
     # 40 bits of the hash times the bucket count stays inside a long up to 2^22 buckets
-    top = F.conv(F.substring("_h", 1, 10), 16, 10).cast("long")
+    top = F.coalesce(F.conv(F.substring("_h", 1, 10), 16, 10), F.lit("0")).cast("long")
     bucketed = hashed.withColumn("_bucket", F.shiftright(top * n_buckets, 40))
 
     before = Window.partitionBy("epoch").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,17 +116,37 @@ def planned_rows(
     return rows.join(uses, key)
 
 
-def collate(used: DataFrame) -> DataFrame:
-    """One record per micro-batch from rows with ``uses`` and token arrays.
+def collate(
+    used: DataFrame,
+    special: SpecialTokens = SpecialTokens(),
+    length: int = MAX_LENGTH,
+    mask_by: str = "id",
+) -> DataFrame:
+    """One record per micro-batch, ``(step, micro_batch, rows)``, from rows with
+    ``uses`` and ``ids``.
 
-    A group has ``ROWS_PER_MICRO_BATCH`` rows at most, as slots are unique.
+    Only the unpadded ids are shuffled; padding, mask and labels follow from
+    them afterwards. A group has as many rows as a micro-batch has slots.
     """
-    return (
-        used.withColumn("_use", F.explode("uses"))
+    gathered = (
+        used.select("ids", F.explode("uses").alias("_use"))
         .groupBy(F.col("_use.step").alias("step"), F.col("_use.micro_batch").alias("micro_batch"))
         .agg(
             F.array_sort(
-                F.collect_list(F.struct(F.col("_use.slot").alias("slot"), "input_ids", "attention_mask", "labels"))
+                F.collect_list(
+                    F.struct(F.col("_use.slot").alias("slot"), truncate(F.col("ids"), length).alias("ids"))
+                )
             ).alias("rows")
         )
     )
+
+    def pad(row: Column) -> Column:
+        ids = row["ids"]
+        return F.struct(
+            row["slot"].alias("slot"),
+            pad_right(ids, special.pad_id, length).alias("input_ids"),
+            attention_mask(ids, length).alias("attention_mask"),
+            masked_labels(ids, special.pad_id, length, mask_by).alias("labels"),
+        )
+
+    return gathered.withColumn("rows", F.transform("rows", pad))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dialogmill.functions.text import DEFAULT_MARKER, clean_document, clean_response, strip
+from dialogmill.functions.text import DEFAULT_MARKER, clean_response, strip
 
 # The wording that goes into the training text.
 STYLE_PROMPT = "Generate a response"
@@ -38,8 +38,8 @@ def style_messages(
     )
 
 
-def knowledge_messages(content: Column) -> Column:
-    body = clean_document(content)
+def knowledge_messages(body: Column) -> Column:
+    """Messages from a cleaned text (``clean_document``), which appears twice."""
     return F.array(
         message("system", F.concat(F.lit(KNOWLEDGE_PREFIX), body)),
         message("user", F.lit(KNOWLEDGE_QUESTION)),

@@ -18,6 +18,16 @@ IGNORE_LABEL = -100
 MAX_BROADCAST_VOCAB = 500_000
 
 
+def _split_words(rows: DataFrame, text: str, max_tokens: int | None) -> DataFrame:
+    """Add ``n_tokens`` of the whole text and ``_words``, the first ``max_tokens``.
+
+    Two projections, so that the regular expression runs once for both columns.
+    """
+    split = rows.withColumn("_all", words(F.col(text)))
+    kept = F.col("_all") if max_tokens is None else F.slice("_all", 1, max_tokens)
+    return split.withColumns({"n_tokens": F.size("_all"), "_words": kept}).drop("_all")
+
+
 def encode(
     rows: DataFrame,
     text: str,
@@ -51,9 +61,7 @@ def encode(
         offsets = pc.subtract(lists.offsets, lists.offsets[0])
         return type(lists).from_arrays(offsets, found, mask=lists.is_null())
 
-    all_words = words(F.col(text))
-    kept = all_words if max_tokens is None else F.slice(all_words, 1, max_tokens)
-    return rows.withColumns({"n_tokens": F.size(all_words), "ids": look_up(kept)})
+    return _split_words(rows, text, max_tokens).withColumn("ids", look_up("_words")).drop("_words")
 
 
 def encode_by_join(
@@ -69,11 +77,9 @@ def encode_by_join(
     Frequent words are hot join keys, so they are salted. ``key`` has to be
     unique; the ids gathered for one key are those of one text.
     """
-    all_words = words(F.col(text))
-    kept = all_words if max_tokens is None else F.slice(all_words, 1, max_tokens)
-    pieces = (
-        rows.select(key, F.posexplode_outer(kept).alias("_pos", "token"))
-        .filter(F.col("token").isNotNull())
+    sized = _split_words(rows, text, max_tokens)
+    pieces = sized.select(key, F.posexplode_outer("_words").alias("_pos", "token")).filter(
+        F.col("token").isNotNull()
     )
     ids = (
         salted_join(pieces, vocab.select("token", "token_id"), ["token"], [key, "_pos"], "left")
@@ -87,15 +93,19 @@ def encode_by_join(
             ).alias("ids")
         )
     )
-    sized = rows.withColumn("n_tokens", F.size(all_words))
     empty = F.when(F.col(text).isNotNull(), F.array().cast("array<int>"))
-    return sized.join(ids, key, "left").withColumn("ids", F.coalesce("ids", empty))
+    return (
+        sized.drop("_words").join(ids, key, "left").withColumn("ids", F.coalesce("ids", empty))
+    )
 
 
-def encode_with_tokenizer(rows: DataFrame, text: str, tokenizer_json: str) -> DataFrame:
+def encode_with_tokenizer(
+    rows: DataFrame, text: str, tokenizer_json: str, add_special_tokens: bool = True
+) -> DataFrame:
     """Add ``ids`` from a trained tokenizer, given in its JSON form.
 
     The tokenizer is built once per task; texts reach it in Arrow batches.
+    ``add_special_tokens`` lets it add its own start and end tokens, if any.
     """
     source = rows.sparkSession.sparkContext.broadcast(tokenizer_json)
 
@@ -107,7 +117,7 @@ def encode_with_tokenizer(rows: DataFrame, text: str, tokenizer_json: str) -> Da
         tokenizer = Tokenizer.from_str(source.value)
         for batch in batches:
             texts = batch.to_pylist()
-            done = tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+            done = tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=add_special_tokens)
             ids = [None if t is None else e.ids for t, e in zip(texts, done)]
             yield pa.array(ids, pa.list_(pa.int32()))
 
@@ -129,42 +139,40 @@ def attention_mask(ids: Column, length: int = MAX_LENGTH) -> Column:
     return F.concat(F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), F.lit(length) - real))
 
 
+def masked_labels(ids: Column, pad_id: int, length: int = MAX_LENGTH, mask_by: str = "id") -> Column:
+    """Labels of an unpadded row: its ids, with padding set to -100.
+
+    ``mask_by="id"`` masks every pad id, so when pad is the eos a true eos goes
+    too; ``"position"`` masks the padding only.
+    """
+    if mask_by == "id":
+        own = F.transform(ids, lambda x: F.when(x == pad_id, IGNORE_LABEL).otherwise(x))
+    elif mask_by == "position":
+        own = ids
+    else:
+        raise ValueError(f"mask_by is 'id' or 'position', not {mask_by!r}")
+    return pad_right(own, IGNORE_LABEL, length)
+
+
 def fixed_length(
     rows: DataFrame,
     special: SpecialTokens = SpecialTokens(),
     length: int = MAX_LENGTH,
-    ids: str = "ids",
+    mask_by: str = "id",
 ) -> DataFrame:
-    """Replace ``ids`` by ``input_ids`` and ``attention_mask``, each ``length`` long."""
-    cut = truncate(F.col(ids), length)
-    return rows.withColumns(
+    """Replace ``ids`` by ``input_ids``, ``attention_mask`` and ``labels``, each
+    ``length`` long."""
+    cut = rows.withColumn("ids", truncate(F.col("ids"), length))
+    ids = F.col("ids")
+    return cut.withColumns(
         {
-            "input_ids": pad_right(cut, special.pad_id, length),
-            "attention_mask": attention_mask(cut, length),
+            "input_ids": pad_right(ids, special.pad_id, length),
+            "attention_mask": attention_mask(ids, length),
+            "labels": masked_labels(ids, special.pad_id, length, mask_by),
         }
-    ).drop(ids)
+    ).drop("ids")
 
 
 def copy_labels(rows: DataFrame) -> DataFrame:
+    """``labels`` as a plain copy of ``input_ids``, before any masking."""
     return rows.withColumn("labels", F.col("input_ids"))
-
-
-def mask_labels(
-    rows: DataFrame, special: SpecialTokens = SpecialTokens(), mask_by: str = "id"
-) -> DataFrame:
-    """``labels`` with padding set to -100.
-
-    ``mask_by="id"`` masks every pad id, so when pad is the eos a true eos goes
-    too; ``"position"`` masks padding positions only.
-    """
-    if mask_by == "id":
-        labels = F.transform(
-            "input_ids", lambda x: F.when(x == special.pad_id, IGNORE_LABEL).otherwise(x)
-        )
-    elif mask_by == "position":
-        labels = F.zip_with(
-            "input_ids", "attention_mask", lambda x, m: F.when(m == 0, IGNORE_LABEL).otherwise(x)
-        )
-    else:
-        raise ValueError(f"mask_by is 'id' or 'position', not {mask_by!r}")
-    return rows.withColumn("labels", labels)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dialogmill.functions.text import (
     PY_WHITESPACE,
+    clean_document,
     clean_response,
     cut_at_stop,
     has_marker,
@@ -37,12 +38,11 @@ from dialogmill.operators.tokens import (
     encode_by_join,
     encode_with_tokenizer,
     fixed_length,
-    mask_labels,
 )
 from dialogmill.operators.validate import count_errors, missing_fields, row_reason
 from dialogmill.operators.vocab import WORD_PATTERN, SpecialTokens, learn_vocab, vocab_size
 from dialogmill.plans import training
-from dialogmill.plans.tables import STEPS_PER_RUN, logged_steps, step_log, style_lines, table
+from dialogmill.plans.tables import STEPS_PER_RUN, logged_steps, spread_small, step_log, style_lines, table
 from dialogmill.session import shared_folder
 from dialogmill.sources import files, sinks
 from dialogmill.streaming.runstate import latest_state, stream_run_state
@@ -182,12 +182,15 @@ def _md5(array: str | Column) -> Column:
 
 
 def _vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return learn_vocab(table(spark, sf, "documents"), "text", VOCAB_SIZE)
+    return learn_vocab(spread_small(table(spark, sf, "documents"), "doc_id"), "text", VOCAB_SIZE)
 
 
-def _texts(spark: SparkSession, sf: str) -> DataFrame:
+def _texts(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
+    documents = table(spark, sf, "documents")
     return training.train_text(
-        table(spark, sf, "documents"), style_lines(table(spark, sf, "conversations")), SYSTEM_PROMPT
+        spread_small(documents, "doc_id") if spread else documents,
+        style_lines(table(spark, sf, "conversations")),
+        SYSTEM_PROMPT,
     )
 
 
@@ -210,8 +213,10 @@ def clean_text_query(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT doc_id, {KB_SYSTEM} AS system, {_quote(KNOWLEDGE_QUESTION)} AS user, "
        f"{CLEAN_DOC} AS assistant FROM documents")
 def kb_documents_query(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", knowledge_messages(F.col("text")).alias("m"))
-    return docs.select("doc_id", *_contents(F.col("m")))
+    docs = table(spark, sf, "documents").select("doc_id", clean_document(F.col("text")).alias("body"))
+    return docs.select("doc_id", knowledge_messages(F.col("body")).alias("m")).select(
+        "doc_id", *_contents(F.col("m"))
+    )
 
 
 @query(f"SELECT conv_id, turn, {_quote(SYSTEM_PROMPT)} AS system, {LINE_PROMPT} AS user, "
@@ -363,13 +368,13 @@ _TOKENIZED_SQL = f"WITH {ENCODED_CTE} SELECT row_key, n_tokens, {_list_md5('ids'
 
 @query(_TOKENIZED_SQL)
 def tokenized_query(spark: SparkSession, sf: str) -> DataFrame:
-    rows = encode(_texts(spark, sf), "text", _vocab(spark, sf), "row_key")
+    rows = encode(_texts(spark, sf, spread=True), "text", _vocab(spark, sf), "row_key")
     return rows.select("row_key", "n_tokens", _md5("ids").alias("ids_md5"))
 
 
 @query(_TOKENIZED_SQL)
 def tokenized_by_join_query(spark: SparkSession, sf: str) -> DataFrame:
-    rows = encode_by_join(_texts(spark, sf), "text", _vocab(spark, sf), "row_key")
+    rows = encode_by_join(_texts(spark, sf, spread=True), "text", _vocab(spark, sf), "row_key")
     return rows.select("row_key", "n_tokens", _md5("ids").alias("ids_md5"))
 
 
@@ -394,12 +399,12 @@ def word_level_tokenizer(entries: list[tuple[str, int]]) -> str:
 def tokenized_plugin_query(spark: SparkSession, sf: str) -> DataFrame:
     # at most VOCAB_SIZE rows, the learn_vocab limit
     entries = [(r.token, r.token_id) for r in _vocab(spark, sf).collect()]
-    rows = encode_with_tokenizer(_texts(spark, sf), "text", word_level_tokenizer(entries))
+    rows = encode_with_tokenizer(_texts(spark, sf, spread=True), "text", word_level_tokenizer(entries))
     return rows.select("row_key", F.size("ids").alias("n_tokens"), _md5("ids").alias("ids_md5"))
 
 
 def _fixed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = encode(_texts(spark, sf), "text", _vocab(spark, sf), "row_key", max_tokens=MAX_LENGTH)
+    rows = encode(_texts(spark, sf, spread=True), "text", _vocab(spark, sf), "row_key", max_tokens=MAX_LENGTH)
     return fixed_length(rows.drop("text"))
 
 
@@ -423,10 +428,10 @@ WITH {FIXED_CTE}
 SELECT row_key, {_list_md5('input_ids')} AS copied_md5, {_list_md5('labels')} AS masked_md5 FROM labelled
 """)
 def labels_query(spark: SparkSession, sf: str) -> DataFrame:
-    rows = copy_labels(_fixed(spark, sf)).withColumnRenamed("labels", "copied")
-    return mask_labels(rows).select(
-        "row_key", _md5("copied").alias("copied_md5"), _md5("labels").alias("masked_md5")
-    )
+    rows = _fixed(spark, sf)
+    return rows.select("row_key", _md5("labels").alias("masked_md5"), "input_ids").transform(
+        copy_labels
+    ).select("row_key", _md5("labels").alias("copied_md5"), "masked_md5")
 
 
 # --- batches -----------------------------------------------------------------
@@ -445,7 +450,7 @@ SELECT step, micro_batch, CAST(count(*) AS INTEGER) AS n_rows,
 FROM plan JOIN digests USING (row_key) GROUP BY step, micro_batch
 """)
 def collated_query(spark: SparkSession, sf: str) -> DataFrame:
-    batches = training.collated_batches(_texts(spark, sf), _vocab(spark, sf), SEED)
+    batches = training.collated_batches(_texts(spark, sf, spread=True), _vocab(spark, sf), SEED)
     return batches.select(
         "step",
         "micro_batch",
@@ -570,7 +575,7 @@ def stream_run_state_query(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark, "run-state")
     events = (
         spark.readStream.schema(table(spark, sf, "events").schema)
-        .option("pathGlobFilter", "events.parquet")
+        .options(pathGlobFilter="events.parquet", maxFilesPerTrigger=1000)
         .parquet(sf)
     )
     stream_run_state(logged_steps(events), STEPS_PER_RUN, folder)
@@ -627,7 +632,7 @@ def map_batches_query(spark: SparkSession, sf: str) -> DataFrame:
        f"{_list_md5('labels')} AS label_md5 FROM labelled")
 def token_shards_query(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
-    rows = training.tokenized_rows(_texts(spark, sf), _vocab(spark, sf))
+    rows = training.tokenized_rows(_texts(spark, sf, spread=True), _vocab(spark, sf))
     sinks.write_tokens(rows, folder, MAX_LENGTH)
     return spark.read.parquet(folder).select(
         "row_key", _md5("input_ids").alias("input_md5"), _md5("labels").alias("label_md5")

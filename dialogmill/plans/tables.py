@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_small(rows: DataFrame, key: str) -> DataFrame:
+    """Spread a small table over the cores before heavy per-row work.
+
+    A table with fewer scan partitions than the cluster has cores would leave
+    cores idle; a large one is returned as it is, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def style_lines(conversations: DataFrame) -> DataFrame:
     """A turn as a style line: assistant turns are style, the others info."""
     return conversations.select(

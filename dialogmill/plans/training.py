@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialogmill.functions.text import DEFAULT_MARKER
+from dialogmill.functions.text import DEFAULT_MARKER, clean_document
 from dialogmill.operators.batches import MAX_STEPS, batch_plan, collate, planned_rows
 from dialogmill.operators.prompts import knowledge_messages, style_messages
 from dialogmill.operators.templates import USER_ASSISTANT, TemplateSpec, render
-from dialogmill.operators.tokens import MAX_LENGTH, encode, fixed_length, mask_labels
+from dialogmill.operators.tokens import MAX_LENGTH, encode, fixed_length
 from dialogmill.operators.vocab import SpecialTokens
 
 
 def knowledge_text(documents: DataFrame, spec: TemplateSpec = USER_ASSISTANT) -> DataFrame:
-    """``(row_key, text)`` for each knowledge document ``(doc_id, text)``."""
-    return documents.select(
-        F.concat(F.lit("kb:"), F.col("doc_id").cast("string")).alias("row_key"),
-        render(knowledge_messages(F.col("text")), spec).alias("text"),
+    """``(row_key, text)`` for each knowledge document ``(doc_id, text)``.
+
+    One projection per step: a column used more than once is then computed once.
+    """
+    return (
+        documents.select(
+            F.concat(F.lit("kb:"), F.col("doc_id").cast("string")).alias("row_key"),
+            clean_document(F.col("text")).alias("body"),
+        )
+        .select("row_key", knowledge_messages(F.col("body")).alias("messages"))
+        .select("row_key", render(F.col("messages"), spec).alias("text"))
     )
 
 
@@ -30,8 +37,8 @@ def style_text(
     """``(row_key, text)`` for each style line ``(line_key, text, type)``."""
     return lines.select(
         F.concat(F.lit("style:"), F.col("line_key")).alias("row_key"),
-        render(style_messages(F.col("text"), F.col("type"), system_prompt, marker), spec).alias("text"),
-    )
+        style_messages(F.col("text"), F.col("type"), system_prompt, marker).alias("messages"),
+    ).select("row_key", render(F.col("messages"), spec).alias("text"))
 
 
 def train_text(
@@ -56,8 +63,9 @@ def tokenized_rows(
     """Fixed-length rows with masked labels; ``truncated`` tells whether text
     beyond ``length`` tokens is lost. One narrow stage, no shuffle."""
     encoded = encode(texts, "text", vocab, "row_key", special, max_tokens=length).drop("text")
-    rows = encoded.withColumn("truncated", F.col("n_tokens") > length)
-    return mask_labels(fixed_length(rows, special, length), special)
+    return fixed_length(
+        encoded.withColumn("truncated", F.col("n_tokens") > length), special, length
+    )
 
 
 def collated_batches(
@@ -71,4 +79,5 @@ def collated_batches(
     """Micro-batches in training order. Only rows the plan uses are tokenized."""
     plan = batch_plan(texts, "row_key", seed, max_steps)
     used = planned_rows(texts, plan, "row_key", max_steps)
-    return collate(tokenized_rows(used, vocab, special, length))
+    encoded = encode(used, "text", vocab, "row_key", special, max_tokens=length)
+    return collate(encoded, special, length)

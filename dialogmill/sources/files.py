@@ -20,6 +20,7 @@ STYLE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in STYLE_COL
 # A doubled quote stands for a quote; Spark's default escape is the backslash.
 CSV_OPTIONS = {"multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "sep": ","}
 
+MAX_FOLDER_PATHS = 64
 MAX_BROADCAST_PATHS = 100_000
 
 
@@ -119,7 +120,16 @@ def _source_key() -> Column:
 
 
 def _number_sources(rows: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """Add ``source_no``, the place of a row's file in ``paths``. In a short
+    list a path may also be a folder of part files."""
     order = [(path_key(p), i) for i, p in enumerate(paths)]
+    if len(order) <= MAX_FOLDER_PATHS:
+        places = [
+            F.when((F.col("_key") == p) | F.startswith("_key", F.lit(p.rstrip("/") + "/")), i)
+            for p, i in order
+        ]
+        keyed = rows.withColumn("_key", _source_key())
+        return keyed.withColumn("source_no", F.explode(F.array_compact(F.array(*places)))).drop("_key")
     numbers = rows.sparkSession.createDataFrame(order, "_key string, source_no int")
     if len(order) <= MAX_BROADCAST_PATHS:
         numbers = F.broadcast(numbers)
@@ -137,6 +147,7 @@ def read_conversations(
     system_prompt: str,
     marker: str = DEFAULT_MARKER,
     normalize_type: bool = False,
+    keep_empty_files: bool = False,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Conversations from files of both kinds, rejected rows, skipped paths.
 
@@ -144,6 +155,10 @@ def read_conversations(
     each file. Rows without text or with broken bytes are rejected instead of
     ending the job. A path given twice counts twice. No readable path gives
     empty tables of the same schema.
+
+    Spark's file sources pass over files of zero bytes. ``keep_empty_files``
+    adds them back as empty knowledge texts, at the price of a second pass that
+    finds the TXT paths without a row.
     """
     txt, csv, skipped = split_paths(paths)
     good, bad = [], []
@@ -151,7 +166,15 @@ def read_conversations(
         files = _number_sources(read_text_files(spark, list(dict.fromkeys(txt))), paths).withColumn(
             "row_id", F.lit(0).cast("long")
         )
-        # an empty file is a valid, if useless, knowledge text
+        if keep_empty_files:
+            listed = [(i, p) for i, p in enumerate(paths) if p.endswith(".txt")]
+            empty = (
+                spark.createDataFrame(listed, "source_no int, source_path string")
+                .join(files.select("source_no").distinct(), "source_no", "left_anti")
+                .withColumns({"content": F.lit(""), "row_id": F.lit(0).cast("long")})
+            )
+            files = files.unionByName(empty)
+        # a blank file is a valid, if useless, knowledge text
         broken = F.when(F.col("content") != "", row_reason(F.col("content")))
         ok, rejected = split_quarantine(files, broken)
         good.append(ok.withColumn("messages", knowledge_messages(F.col("content"))))

@@ -66,8 +66,10 @@ def batch_plan(
     uses = keys.withColumn("epoch", F.explode(F.sequence(F.lit(0), n_epochs - 1)))
     hashed = uses.withColumn("_h", order_key(seed, F.col("epoch"), F.col(key)))
     # 40 bits of the hash times the bucket count stays inside a long up to 2^22 buckets
-    top = F.coalesce(F.conv(F.substring("_h", 1, 10), 16, 10), F.lit("0")).cast("long")
-    bucketed = hashed.withColumn("_bucket", F.shiftright(top * n_buckets, 40))
+    top = F.conv(F.substring("_h", 1, 10), 16, 10).cast("long")
+    # never null; saying so spares the joins a null check that hashes again
+    bucket = F.coalesce(F.shiftright(top * n_buckets, 40), F.lit(0))
+    bucketed = hashed.withColumn("_bucket", bucket)
 
     before = Window.partitionBy("epoch").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = bucketed.groupBy("epoch", "_bucket").agg(F.count("*").alias("_n"))

@@ -71,16 +71,17 @@ def loss_series(
     """
     points = log.select(
         "run", _block(steps_per_block).alias("block"), "step", F.col(loss).alias("loss")
-    ).filter(F.col("loss").isNotNull())
-    earlier = Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = points.groupBy("run", "block").agg(F.count("*").alias("_n"))
-    starts = sizes.select(
-        "run", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("first_idx")
-    )
+    ).filter(F.col("loss").isNotNull() & F.col("run").isNotNull() & F.col("block").isNotNull())
     arrays = points.groupBy("run", "block").agg(
         F.array_sort(F.collect_list(F.struct("step", "loss"))).alias("points")
     )
-    return arrays.join(starts, ["run", "block"]).select("run", "block", "first_idx", "points")
+    # sizes come from the arrays, not from another pass over the log: Spark then
+    # shuffles once and reads that shuffle twice
+    earlier = Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = arrays.select("run", "block", F.size("points").alias("_n")).select(
+        "run", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("first_idx")
+    )
+    return arrays.join(starts, ["run", "block"], "left").select("run", "block", "first_idx", "points")
 
 
 def series_rows(series: DataFrame) -> DataFrame:

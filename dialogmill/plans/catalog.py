@@ -450,7 +450,13 @@ SELECT step, micro_batch, CAST(count(*) AS INTEGER) AS n_rows,
 FROM plan JOIN digests USING (row_key) GROUP BY step, micro_batch
 """)
 def collated_query(spark: SparkSession, sf: str) -> DataFrame:
-    batches = training.collated_batches(_texts(spark, sf, spread=True), _vocab(spark, sf), SEED)
+    batches = training.collated_batches(
+        table(spark, sf, "documents"),
+        style_lines(table(spark, sf, "conversations")),
+        SYSTEM_PROMPT,
+        _vocab(spark, sf),
+        SEED,
+    )
     return batches.select(
         "step",
         "micro_batch",

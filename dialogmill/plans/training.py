@@ -11,34 +11,46 @@ from dialogmill.operators.prompts import knowledge_messages, style_messages
 from dialogmill.operators.templates import USER_ASSISTANT, TemplateSpec, render
 from dialogmill.operators.tokens import MAX_LENGTH, encode, fixed_length
 from dialogmill.operators.vocab import SpecialTokens
+from dialogmill.plans.tables import spread_small
 
 
-def knowledge_text(documents: DataFrame, spec: TemplateSpec = USER_ASSISTANT) -> DataFrame:
-    """``(row_key, text)`` for each knowledge document ``(doc_id, text)``.
+def knowledge_rows(documents: DataFrame) -> DataFrame:
+    """``(row_key, text)`` from documents ``(doc_id, text)``, text as it is."""
+    return documents.select(
+        F.concat(F.lit("kb:"), F.col("doc_id").cast("string")).alias("row_key"), "text"
+    )
+
+
+def style_rows(lines: DataFrame) -> DataFrame:
+    """``(row_key, text, type)`` from style lines ``(line_key, text, type)``."""
+    return lines.select(F.concat(F.lit("style:"), F.col("line_key")).alias("row_key"), "text", "type")
+
+
+def knowledge_text(rows: DataFrame, spec: TemplateSpec = USER_ASSISTANT) -> DataFrame:
+    """Replace ``text`` by the rendered conversation; other columns stay.
 
     One projection per step: a column used more than once is then computed once.
     """
+    kept = [c for c in rows.columns if c != "text"]
     return (
-        documents.select(
-            F.concat(F.lit("kb:"), F.col("doc_id").cast("string")).alias("row_key"),
-            clean_document(F.col("text")).alias("body"),
-        )
-        .select("row_key", knowledge_messages(F.col("body")).alias("messages"))
-        .select("row_key", render(F.col("messages"), spec).alias("text"))
+        rows.select(*kept, clean_document(F.col("text")).alias("_body"))
+        .select(*kept, knowledge_messages(F.col("_body")).alias("_messages"))
+        .select(*kept, render(F.col("_messages"), spec).alias("text"))
     )
 
 
 def style_text(
-    lines: DataFrame,
+    rows: DataFrame,
     system_prompt: str,
     spec: TemplateSpec = USER_ASSISTANT,
     marker: str = DEFAULT_MARKER,
 ) -> DataFrame:
-    """``(row_key, text)`` for each style line ``(line_key, text, type)``."""
-    return lines.select(
-        F.concat(F.lit("style:"), F.col("line_key")).alias("row_key"),
-        style_messages(F.col("text"), F.col("type"), system_prompt, marker).alias("messages"),
-    ).select("row_key", render(F.col("messages"), spec).alias("text"))
+    """Replace ``text`` and ``type`` by the rendered conversation."""
+    kept = [c for c in rows.columns if c not in ("text", "type")]
+    messages = style_messages(F.col("text"), F.col("type"), system_prompt, marker)
+    return rows.select(*kept, messages.alias("_messages")).select(
+        *kept, render(F.col("_messages"), spec).alias("text")
+    )
 
 
 def train_text(
@@ -48,9 +60,10 @@ def train_text(
     spec: TemplateSpec = USER_ASSISTANT,
     marker: str = DEFAULT_MARKER,
 ) -> DataFrame:
-    """All training texts. Duplicates stay; ``row_key`` tells rows apart."""
-    return knowledge_text(documents, spec).unionByName(
-        style_text(lines, system_prompt, spec, marker)
+    """All training texts ``(row_key, text)``. Duplicates stay; ``row_key``
+    tells rows apart."""
+    return knowledge_text(knowledge_rows(documents), spec).unionByName(
+        style_text(style_rows(lines), system_prompt, spec, marker)
     )
 
 
@@ -69,15 +82,27 @@ def tokenized_rows(
 
 
 def collated_batches(
-    texts: DataFrame,
+    documents: DataFrame,
+    lines: DataFrame,
+    system_prompt: str,
     vocab: DataFrame,
     seed: int = 42,
     max_steps: int | None = MAX_STEPS,
     special: SpecialTokens = SpecialTokens(),
     length: int = MAX_LENGTH,
 ) -> DataFrame:
-    """Micro-batches in training order. Only rows the plan uses are tokenized."""
-    plan = batch_plan(texts, "row_key", seed, max_steps)
-    used = planned_rows(texts, plan, "row_key", max_steps)
+    """Micro-batches in training order.
+
+    The plan is made from keys alone and joined to the raw rows, so only rows
+    it uses are cleaned, rendered and tokenized, each once.
+    """
+    knowledge, style = knowledge_rows(documents), style_rows(lines)
+    plan = batch_plan(
+        knowledge.select("row_key").unionByName(style.select("row_key")), "row_key", seed, max_steps
+    )
+    spread = spread_small(knowledge, "row_key")
+    used = knowledge_text(planned_rows(spread, plan, "row_key", max_steps)).unionByName(
+        style_text(planned_rows(style, plan, "row_key", max_steps), system_prompt)
+    )
     encoded = encode(used, "text", vocab, "row_key", special, max_tokens=length)
     return collate(encoded, special, length)

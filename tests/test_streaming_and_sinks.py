@@ -7,6 +7,7 @@ from dialogmill.operators import runlog
 from dialogmill.operators.mapping import map_batches
 from dialogmill.operators.tokens import fixed_length
 from dialogmill.operators.vocab import learn_vocab, vocab_size
+from dialogmill.plans.prepare import prepare
 from dialogmill.session import shared_folder
 from dialogmill.sources import files, sinks
 from dialogmill.streaming.callbacks import LifecycleListener
@@ -65,6 +66,25 @@ def test_text_csv_and_metrics_round_trip(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/m").first()[0] == 3 + 5
 
 
+def test_whole_preparation(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("speaker,text,type\nm,one two,style\nm,,info\nm,two -éveré x,info\n")
+    (tmp_path / "b.txt").write_text("two facts\r\n")
+    out = f"{tmp_path}/out"
+    skipped = prepare(
+        spark, [f"{tmp_path}/b.txt", f"{tmp_path}/a.csv", f"{tmp_path}/c.doc"], "Be kind.", out, vocab_entries=10, length=12
+    )
+    assert skipped == [f"{tmp_path}/c.doc"]
+    texts = {r.row_key: r.text for r in spark.read.parquet(f"{out}/text").collect()}
+    assert texts["1:0"] == "Be kind.\nUSER: Generate a response\nASSISTANT: one two\n"
+    assert len(texts) == 3 and texts["0:0"].endswith("ASSISTANT: two facts\n")
+    assert [r.reason for r in spark.read.parquet(f"{out}/rejected").collect()] == ["missing_text"]
+    assert spark.read.parquet(f"{out}/metrics").first()[0] == 13
+    tokens = spark.read.parquet(f"{out}/tokens").collect()
+    assert {r.row_key for r in tokens} == set(texts)
+    assert all(len(r.input_ids) == len(r.labels) == len(r.attention_mask) == 12 for r in tokens)
+    assert {r.row_key: r.truncated for r in tokens}["0:0"]
+
+
 def test_user_function_over_batches(spark):
     rows = spark.createDataFrame([(1, "ab", "x"), (2, "c", "y")], "id long, text string, other string")
     out = map_batches(rows, lambda p: p.assign(n=p["text"].str.len())[["id", "n"]], "id long, n long", ["id", "text"])

@@ -45,6 +45,7 @@ from dialogmill.plans import training
 from dialogmill.plans.tables import STEPS_PER_RUN, logged_steps, spread_small, step_log, style_lines, table
 from dialogmill.session import shared_folder
 from dialogmill.sources import files, sinks
+from dialogmill.sources.style_csv import read_style_csv
 from dialogmill.streaming.runstate import latest_state, stream_run_state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -601,12 +602,12 @@ def _csv_folder(spark: SparkSession, sf: str) -> str:
 
 @query(f"SELECT role AS speaker, text, {_LINE_TYPE} AS type FROM conversations")
 def src_style_csv_query(spark: SparkSession, sf: str) -> DataFrame:
-    return files.read_style_csv(spark, [_csv_folder(spark, sf)]).select("speaker", "text", "type")
+    return read_style_csv(spark, [_csv_folder(spark, sf)]).select("speaker", "text", "type")
 
 
 @query(f"SELECT role AS speaker, text, {_LINE_TYPE} AS type FROM conversations")
-def src_style_csv_by_name_query(spark: SparkSession, sf: str) -> DataFrame:
-    return files.read_style_csv_by_name(spark, [_csv_folder(spark, sf)]).select("speaker", "text", "type")
+def src_style_csv_unsplit_query(spark: SparkSession, sf: str) -> DataFrame:
+    return files.read_style_csv_unsplit(spark, [_csv_folder(spark, sf)]).select("speaker", "text", "type")
 
 
 @query(f"""

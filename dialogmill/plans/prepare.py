@@ -32,9 +32,9 @@ def prepare(
     """Write ``text``, ``rejected``, ``vocab``, ``tokens`` and ``metrics`` below
     ``out``; return the skipped paths.
 
-    The rendered text is written first and read again for the later steps: CSV
-    files with embedded newlines cannot be split, parquet can, and row keys are
-    settled once. Without a given ``vocab`` one is learned from the text.
+    The rendered text is written first and read again for the later steps, so
+    that source files are parsed once. Without a given ``vocab`` one is learned
+    from the text.
     """
     conversations, rejected, skipped = files.read_conversations(spark, paths, system_prompt)
     conversations.select(

@@ -12,13 +12,8 @@ from pyspark.sql import types as T
 
 from dialogmill.functions.text import DEFAULT_MARKER, clean_document
 from dialogmill.operators.prompts import knowledge_messages, style_messages
-from dialogmill.operators.skew import salted_join
 from dialogmill.operators.validate import row_reason, split_quarantine
-
-STYLE_COLUMNS = ("speaker", "text", "type")
-STYLE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in STYLE_COLUMNS])
-# A doubled quote stands for a quote; Spark's default escape is the backslash.
-CSV_OPTIONS = {"multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "sep": ","}
+from dialogmill.sources.style_csv import CSV_OPTIONS, STYLE_COLUMNS, read_style_csv
 
 MAX_FOLDER_PATHS = 64
 MAX_BROADCAST_PATHS = 100_000
@@ -31,20 +26,20 @@ def split_paths(paths: Sequence[str]) -> tuple[list[str], list[str], list[str]]:
     return txt, csv, [p for p in paths if not p.endswith((".txt", ".csv"))]
 
 
-def read_style_csv(
+def read_style_csv_unsplit(
     spark: SparkSession, paths: Sequence[str], columns: Sequence[str] = STYLE_COLUMNS
 ) -> DataFrame:
-    """``(source_path, row_id, speaker, text, type)``, all values as strings.
+    """``(source_path, row_id, speaker, text, type)`` by Spark's own CSV reader.
 
-    ``columns`` is the header the files share; a file with another header
-    fails the read. Files whose headers differ go through
-    ``read_style_csv_by_name``. ``row_id`` rises with the row order inside a
-    file and is unique over all files, with gaps.
+    No shuffle, but one task per file: for many files of moderate size that
+    share the header ``columns`` (another fails the read) and end every line
+    the same way. Otherwise use ``read_style_csv``. ``row_id`` rises with the
+    row order inside a file and is unique over all files, with gaps.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     rows = (
         spark.read.schema(schema)
-        .options(header=True, enforceSchema=False, **CSV_OPTIONS)
+        .options(header=True, enforceSchema=False, encoding="UTF-8", **CSV_OPTIONS)
         .csv(list(paths))
     )
     return rows.select(
@@ -57,44 +52,6 @@ def read_style_csv(
     )
 
 
-def read_style_csv_by_name(
-    spark: SparkSession, paths: Sequence[str], max_columns: int = 16
-) -> DataFrame:
-    """``(source_path, row_no, speaker, text, type)`` with columns found by
-    name in each file's own header, and dense row numbers from 0 per file.
-
-    Multi-line CSV files are never split, so a file's rows are consecutive in
-    one task: the row with the lowest id is its header, and the distance to it
-    is the row number. That takes a second pass over the files; prefer
-    ``read_style_csv`` where all headers are alike.
-    """
-    names = [f"_c{i}" for i in range(max_columns)]
-    raw = (
-        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-        .options(header=False, **CSV_OPTIONS)
-        .csv(list(paths))
-        .select(
-            F.col("_metadata.file_path").alias("source_path"),
-            F.monotonically_increasing_id().alias("_id"),
-            F.array(*names).alias("_cells"),
-        )
-    )
-    heads = raw.groupBy("source_path").agg(
-        F.min("_id").alias("_first"), F.min_by("_cells", "_id").alias("_head")
-    )
-    joined = salted_join(raw, heads, ["source_path"], ["_id"]).filter(F.col("_id") > F.col("_first"))
-
-    def cell(name: str) -> Column:
-        place = F.array_position("_head", F.lit(name))
-        return F.when(place > 0, F.get("_cells", (place - 1).cast("int"))).alias(name)
-
-    return joined.select(
-        "source_path",
-        (F.col("_id") - F.col("_first") - 1).alias("row_no"),
-        *[cell(c) for c in STYLE_COLUMNS],
-    )
-
-
 def read_text_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``(source_path, content)``: one row per file, newlines normalised, stripped.
 
@@ -152,7 +109,7 @@ def read_conversations(
     """Conversations from files of both kinds, rejected rows, skipped paths.
 
     ``(source_no, row_id)`` is the order of the paths given and of the rows in
-    each file. Rows without text or with broken bytes are rejected instead of
+    each file, the same however the work is split. Rows without text or with broken bytes are rejected instead of
     ending the job. A path given twice counts twice. No readable path gives
     empty tables of the same schema.
 
@@ -180,7 +137,9 @@ def read_conversations(
         good.append(ok.withColumn("messages", knowledge_messages(F.col("content"))))
         bad.append(rejected.withColumnRenamed("content", "text"))
     if csv:
-        lines = _number_sources(read_style_csv(spark, list(dict.fromkeys(csv))), paths)
+        lines = _number_sources(
+            read_style_csv(spark, list(dict.fromkeys(csv))).withColumnRenamed("row_no", "row_id"), paths
+        )
         ok, rejected = split_quarantine(lines, row_reason(F.col("text")))
         good.append(
             ok.withColumn(

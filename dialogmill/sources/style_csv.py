@@ -1,0 +1,181 @@
+"""Style lines from CSV files, split over tasks whatever their size.
+
+Spark's CSV reader does not split files whose quoted fields may hold newlines,
+so a huge file would be one task; and with mixed line ends it joins or loses
+rows. Here a file is read as lines, which do split. Whether a line begins
+inside a quoted field is worked out with windows over one block of a file at a
+time, plus a summary with one row per block. A line changes that state in one
+of four ways: keep it, switch it, or end outside or inside whatever came before.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from dialogmill.operators.skew import salted_join
+
+STYLE_COLUMNS = ("speaker", "text", "type")
+# A doubled quote stands for a quote; Spark's default escape is the backslash.
+CSV_OPTIONS = {"quote": '"', "escape": '"', "sep": ",", "multiLine": "true"}
+BLOCK = ("source_path", "block")
+
+
+def _ends_inside(line: Column, begins_inside: bool) -> Column:
+    """1 when a line ends inside a quoted field, given where it begins.
+
+    Walks over the text in front of each quote. State 0 is outside, 1 inside, 2
+    just after a quote met inside, which closes the field unless the very next
+    character is a quote too. Outside, a quote opens a field only at its start,
+    that is after a comma; one is put in front of a line that begins outside.
+    """
+    start = line if begins_inside else F.concat(F.lit(","), line)
+    pieces = F.split(start, '"')
+    before_quotes = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+
+    def step(state: Column, piece: Column) -> Column:
+        opens = F.when(F.endswith(piece, F.lit(",")), 1).otherwise(0)
+        return (
+            F.when(state == 1, 2).when((state == 2) & (piece == ""), 1).otherwise(opens)
+        )
+
+    last = F.aggregate(before_quotes, F.lit(1 if begins_inside else 0), step)
+    plain = F.lit(1 if begins_inside else 0)
+    return F.when(F.contains(line, F.lit('"')), (last == 1).cast("int")).otherwise(plain)
+
+
+def _switches() -> Column:
+    return ((F.col("out0") == 1) & (F.col("out1") == 0)).cast("int")
+
+
+def _follow(rows: DataFrame, order: str, *keys: str) -> DataFrame:
+    """Add ``_flips`` and ``_last``, from which ``_state`` gives the state in
+    front of each row: the last one a row set whatever came before it, switched
+    as often as rows have switched since."""
+    past = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    certain = F.when(F.col("out0") == F.col("out1"), F.col("out0"))
+    return (
+        rows.withColumn("_flips", F.coalesce(F.sum(_switches()).over(past), F.lit(0)))
+        .withColumn("_set", (certain + F.col("_flips")) % 2)
+        .withColumn("_last", F.last("_set", ignorenulls=True).over(past))
+    )
+
+
+def _state(entry: int) -> Column:
+    return (F.coalesce("_last", F.lit(entry)) + F.col("_flips")) % 2
+
+
+def _numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(source_path, block, id, value, record_no, whole)`` for each line."""
+    lines = (
+        spark.read.option("lineSep", "\n")
+        .text(list(paths))
+        .select(
+            F.col("_metadata.file_path").alias("source_path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("id"),
+            "value",
+            # the state behind a line that begins outside, or inside
+            _ends_inside(F.col("value"), False).alias("out0"),
+            _ends_inside(F.col("value"), True).alias("out1"),
+        )
+    )
+    upto = Window.partitionBy(*BLOCK).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    followed = (
+        _follow(lines, "id", *BLOCK)
+        .withColumns({"_begins0": 1 - _state(0), "_begins1": 1 - _state(1)})
+        # records begun so far, if the block begins outside or inside
+        .withColumns({"_begun0": F.sum("_begins0").over(upto), "_begun1": F.sum("_begins1").over(upto)})
+    )
+    newest_set = F.max_by("_set", F.when(F.col("_set").isNotNull(), F.col("id")))
+    blocks = followed.groupBy(*BLOCK).agg(
+        ((F.coalesce(newest_set, F.lit(0)) + F.sum(_switches())) % 2).alias("out0"),
+        ((F.coalesce(newest_set, F.lit(1)) + F.sum(_switches())) % 2).alias("out1"),
+        F.sum("_begins0").alias("_n0"),
+        F.sum("_begins1").alias("_n1"),
+    )
+    earlier = Window.partitionBy("source_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    entries = (
+        _follow(blocks, "block", "source_path")
+        .withColumn("_entry", _state(0))
+        .withColumn("_n", F.when(F.col("_entry") == 0, F.col("_n0")).otherwise(F.col("_n1")))
+        .select(*BLOCK, "_entry", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    )
+    outside = F.col("_entry") == 0
+    begins = F.when(outside, F.col("_begins0")).otherwise(F.col("_begins1"))
+    begun = F.when(outside, F.col("_begun0")).otherwise(F.col("_begun1"))
+    return followed.join(entries, list(BLOCK)).select(
+        *BLOCK,
+        "id",
+        "value",
+        # a line that begins no record belongs to the last one begun before
+        (F.col("_before") + begun - 1).alias("record_no"),
+        ((begins == 1) & (F.col("out0") == 0)).alias("whole"),
+    )
+
+
+def _records(spark: SparkSession, paths: Sequence[str], n_cells: int) -> DataFrame:
+    """``(source_path, record_no, cells)``; only the lines of records with
+    embedded newlines are gathered."""
+    numbered = _numbered_lines(spark, paths)
+    single = numbered.filter("whole").select("source_path", "record_no", "value")
+    several = (
+        numbered.filter(~F.col("whole"))
+        .groupBy("source_path", "record_no")
+        .agg(F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("_lines"))
+        .select(
+            "source_path",
+            "record_no",
+            F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("value"),
+        )
+    )
+    names = [f"c{i}" for i in range(n_cells)]
+    fields = F.from_csv("value", F.lit(", ".join(f"{n} string" for n in names)), CSV_OPTIONS)
+    return (
+        single.unionByName(several)
+        .withColumn("value", F.regexp_replace("value", r"\r\z", ""))
+        .filter((F.col("value") != "") | (F.col("record_no") == 0))
+        .select("source_path", "record_no", fields.alias("_f"))
+        .select("source_path", "record_no", F.array(*[F.col("_f")[n] for n in names]).alias("cells"))
+    )
+
+
+def read_style_csv(
+    spark: SparkSession,
+    paths: Sequence[str],
+    columns: Sequence[str] | None = None,
+    max_columns: int = 16,
+) -> DataFrame:
+    """``(source_path, row_no, speaker, text, type)``, all values as strings.
+
+    Columns are found by name in each file's header; one a file lacks is null.
+    With ``columns`` given, all files must have just that header, any other
+    fails the read, and the join with the headers is saved.
+
+    ``row_no`` counts a file's records from 0 and does not depend on how the
+    file was split. Blank lines are counted and left out.
+    """
+    records = _records(spark, paths, len(columns) if columns else max_columns)
+    row_no = (F.col("record_no") - 1).alias("row_no")
+    if columns:
+        same = F.col("cells") == F.array(*map(F.lit, columns))
+        wrong = F.raise_error(F.concat(F.lit("CSV header does not match in "), F.col("source_path")))
+        body = records.filter(
+            F.when(F.col("record_no") > 0, True).when(same, False).otherwise(wrong.cast("boolean"))
+        )
+        place = {c: i for i, c in enumerate(columns)}
+        cells = [
+            (F.col("cells")[place[c]] if c in place else F.lit(None).cast("string")).alias(c)
+            for c in STYLE_COLUMNS
+        ]
+        return body.select("source_path", row_no, *cells)
+    heads = records.filter("record_no = 0").select("source_path", F.col("cells").alias("_head"))
+    body = salted_join(records.filter("record_no > 0"), heads, ["source_path"], ["record_no"])
+
+    def cell(name: str) -> Column:
+        at = F.array_position("_head", F.lit(name))
+        return F.when(at > 0, F.get("cells", (at - 1).cast("int"))).alias(name)
+
+    return body.select("source_path", row_no, *[cell(c) for c in STYLE_COLUMNS])

@@ -1,9 +1,14 @@
+import random
+from contextlib import contextmanager
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from dialogmill.operators.prompts import INFO_PROMPT, STYLE_PROMPT
 from dialogmill.operators.templates import USER_ASSISTANT, render
 from dialogmill.sources import files
+from dialogmill.sources.style_csv import STYLE_COLUMNS, read_style_csv
 
 CSV = (
     "speaker,text,type\n"
@@ -18,6 +23,17 @@ CSV = (
 TEXTS = ['And why, "pal"?', "two\nlines", "Would you rather stay?", ":)", "NA", None, "hello -éveré tail"]
 
 
+@contextmanager
+def file_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        yield
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 @pytest.fixture()
 def folder(tmp_path):
     (tmp_path / "b.csv").write_text(CSV, encoding="utf-8")
@@ -29,29 +45,85 @@ def folder(tmp_path):
     return tmp_path
 
 
-def test_style_csv(spark, folder):
-    rows = files.read_style_csv(spark, [str(folder / "b.csv")]).orderBy("row_id").collect()
-    assert [r.text for r in rows] == TEXTS
-    assert [r.type for r in rows] == ["style", "style", "style ", "info", "info", "info", "info"]
+def test_style_csv_by_both_readers(spark, folder):
+    path = str(folder / "b.csv")
+    for rows in (
+        read_style_csv(spark, [path]).orderBy("row_no"),
+        read_style_csv(spark, [path], STYLE_COLUMNS).orderBy("row_no"),
+        files.read_style_csv_unsplit(spark, [path]).orderBy("row_id"),
+    ):
+        got = rows.collect()
+        assert [r.text for r in got] == TEXTS
+        assert [r.type for r in got] == ["style", "style", "style ", "info", "info", "info", "info"]
 
 
 def test_style_csv_with_another_header_fails(spark, tmp_path):
     (tmp_path / "x.csv").write_text("text,speaker,type\na,b,info\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        files.read_style_csv(spark, [str(tmp_path / "x.csv")]).collect()
-
-
-def test_style_csv_by_name(spark, folder):
-    (folder / "e.csv").write_text('type,more,text\ninfo,1,"x, y"\nstyle,2,z\n')
-    rows = files.read_style_csv_by_name(spark, [str(folder / "b.csv"), str(folder / "e.csv")])
-    got = {
-        name: [(r.row_no, r.speaker, r.text, r.type) for r in rows.orderBy("row_no").collect()
-               if r.source_path.endswith(name)]
-        for name in ("b.csv", "e.csv")
-    }
-    assert [g[0] for g in got["b.csv"]] == list(range(7))
-    assert [g[2] for g in got["b.csv"]] == TEXTS
-    assert got["e.csv"] == [(0, None, "x, y", "info"), (1, None, "z", "style")]
+    for read in (read_style_csv, files.read_style_csv_unsplit):
+        with pytest.raises(Exception, match="(?i)header"):
+            read(spark, [str(tmp_path / "x.csv")], STYLE_COLUMNS).collect()
+
+
+def test_style_csv_finds_columns_by_name(spark, folder):
+    (folder / "e.csv").write_text('type,more,text\ninfo,1,"x, y"\n\nstyle,2,z\n')
+    rows = read_style_csv(spark, [str(folder / "b.csv"), str(folder / "e.csv")]).orderBy("row_no").collect()
+    other = [(r.row_no, r.speaker, r.text, r.type) for r in rows if r.source_path.endswith("e.csv")]
+    assert other == [(0, None, "x, y", "info"), (2, None, "z", "style")]
+    assert [r.text for r in rows if r.source_path.endswith("b.csv")] == TEXTS
+
+
+CSV_SHAPES = {
+    "crlf": 'speaker,text,type\r\na,"x\ny",style\r\nb,"p\r\nq",info\r\nc,plain,"style"\r\n',
+    "mixed": 'speaker,text,type\na,"x\ny",style\r\nb,"p\r\nq",info\nc,plain,"style"\r\nd,e,"info"\n',
+    "crlf_header": 'speaker,text,type\r\na,"x\ny",style\nb,"p\r\nq",info\r\nc,plain,"style"\nd,e,info\r\n',
+    "blank_lines": "speaker,text,type\n\na,b,style\n\n\nc,d,info",
+    "no_last_newline": 'speaker,text,type\na,"",style\nc,d',
+    "stray_quotes": 'speaker,text,type\na,5" pipe,style\nb,say "hi" now,info\nc,"q ""w"" e",info\nd,x "",info\n',
+    "bom": "\ufeffspeaker,text,type\na,b,style\n",
+    "quoted_newline_only": 'speaker,text,type\na,"\n\n",style\nb,"",info\nc,"x\n""\n,y",info\n',
+}
+
+
+@pytest.mark.parametrize("split", [5, 1_000_000])
+def test_style_csv_like_pandas(spark, tmp_path, split):
+    paths = []
+    for name, body in CSV_SHAPES.items():
+        (tmp_path / f"{name}.csv").write_bytes(body.encode())
+        paths.append(str(tmp_path / f"{name}.csv"))
+    with file_splits(spark, split):
+        rows = read_style_csv(spark, paths).orderBy("source_path", "row_no").collect()
+    for name, path in zip(CSV_SHAPES, paths):
+        frame = pd.read_csv(path, keep_default_na=False, na_values=[""], dtype=str)
+        want = [tuple(None if pd.isna(c) else c for c in r) for r in frame.itertuples(index=False)]
+        got = [(r.speaker, r.text, r.type) for r in rows if r.source_path.endswith(f"/{name}.csv")]
+        assert got == want, name
+
+
+def test_malformed_field_leaves_other_rows_alone(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('speaker,text,type\na,"b"c,style\nd,e,info\n')
+    rows = read_style_csv(spark, [str(tmp_path / "x.csv")]).orderBy("row_no").collect()
+    assert [(r.speaker, r.type) for r in rows] == [("a", "style"), ("d", "info")]
+    assert rows[1].text == "e"
+
+
+@pytest.mark.parametrize("split", [97, 1_000_000])
+def test_style_csv_split_over_tasks(spark, folder, split):
+    """Blocks begin inside quoted fields, and records span several blocks."""
+    rng = random.Random(5)
+    pieces = ["word ", "a, b ", '"', "\n", "\r\n", "é", "\n\n"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 14))).strip("\r") or "x" for _ in range(120)]
+    lines = [("s", t, "style") for t in texts]
+    body = "".join(
+        f's,"{t.replace(chr(34), chr(34) * 2)}",style{eol}' for t, eol in zip(texts, ["\n", "\r\n"] * 60)
+    )
+    (folder / "big.csv").write_bytes(("speaker,text,type\n" + body).encode())
+    with file_splits(spark, split):
+        rows = read_style_csv(spark, [str(folder / "big.csv"), str(folder / "b.csv")])
+        got = rows.orderBy("source_path", "row_no").collect()
+    big = [(r.speaker, r.text, r.type) for r in got if r.source_path.endswith("big.csv")]
+    assert big == lines
+    small = [r for r in got if r.source_path.endswith("b.csv") and "big" not in r.source_path]
+    assert [r.text for r in small] == TEXTS and [r.row_no for r in small] == list(range(7))
 
 
 def test_text_file_keeps_bom_and_normalises_newlines(spark, folder):

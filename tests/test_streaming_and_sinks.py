@@ -9,7 +9,8 @@ from dialogmill.operators.tokens import fixed_length
 from dialogmill.operators.vocab import learn_vocab, vocab_size
 from dialogmill.plans.prepare import prepare
 from dialogmill.session import shared_folder
-from dialogmill.sources import files, sinks
+from dialogmill.sources import sinks
+from dialogmill.sources.style_csv import read_style_csv
 from dialogmill.streaming.callbacks import LifecycleListener
 from dialogmill.streaming.runstate import latest_state, stream_run_state
 
@@ -60,7 +61,7 @@ def test_text_csv_and_metrics_round_trip(spark, tmp_path):
         [("s", 'He said "hi",\r\nthen\\ left', "style"), ("s", "  padded ", "info")], "speaker string, text string, type string"
     )
     sinks.write_style_csv(lines, f"{tmp_path}/c.csv")
-    got = files.read_style_csv(spark, [f"{tmp_path}/c.csv"]).select("speaker", "text", "type")
+    got = read_style_csv(spark, [f"{tmp_path}/c.csv"]).select("speaker", "text", "type")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lines.collect()))
     sinks.write_metrics(vocab_size(learn_vocab(texts, "text", 100)), f"{tmp_path}/m")
     assert spark.read.parquet(f"{tmp_path}/m").first()[0] == 3 + 5

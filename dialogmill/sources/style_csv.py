@@ -117,16 +117,17 @@ def _numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def _records(spark: SparkSession, paths: Sequence[str], n_cells: int) -> DataFrame:
-    """``(source_path, record_no, cells)``; only the lines of records with
-    embedded newlines are gathered."""
+    """``(source_path, block, record_no, cells)``, ``block`` being that of the
+    first line; only the lines of records with embedded newlines are gathered."""
     numbered = _numbered_lines(spark, paths)
-    single = numbered.filter("whole").select("source_path", "record_no", "value")
+    single = numbered.filter("whole").select(*BLOCK, "record_no", "value")
     several = (
         numbered.filter(~F.col("whole"))
         .groupBy("source_path", "record_no")
         .agg(F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("_lines"))
         .select(
             "source_path",
+            F.get("_lines", F.lit(0))["block"].alias("block"),
             "record_no",
             F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("value"),
         )
@@ -137,8 +138,8 @@ def _records(spark: SparkSession, paths: Sequence[str], n_cells: int) -> DataFra
         single.unionByName(several)
         .withColumn("value", F.regexp_replace("value", r"\r\z", ""))
         .filter((F.col("value") != "") | (F.col("record_no") == 0))
-        .select("source_path", "record_no", fields.alias("_f"))
-        .select("source_path", "record_no", F.array(*[F.col("_f")[n] for n in names]).alias("cells"))
+        .select(*BLOCK, "record_no", fields.alias("_f"))
+        .select(*BLOCK, "record_no", F.array(*[F.col("_f")[n] for n in names]).alias("cells"))
     )
 
 
@@ -150,9 +151,10 @@ def read_style_csv(
 ) -> DataFrame:
     """``(source_path, row_no, speaker, text, type)``, all values as strings.
 
-    Columns are found by name in each file's header; one a file lacks is null.
-    With ``columns`` given, all files must have just that header, any other
-    fails the read, and the join with the headers is saved.
+    Columns are found by name in each file's header, its first line that is not
+    blank; a column the file lacks is null. With ``columns`` given, the first
+    line of every file must be just that header, any other fails the read, and
+    the join with the headers is saved.
 
     ``row_no`` counts a file's records from 0 and does not depend on how the
     file was split. Blank lines are counted and left out.
@@ -171,11 +173,18 @@ def read_style_csv(
             for c in STYLE_COLUMNS
         ]
         return body.select("source_path", row_no, *cells)
-    heads = records.filter("record_no = 0").select("source_path", F.col("cells").alias("_head"))
-    body = salted_join(records.filter("record_no > 0"), heads, ["source_path"], ["record_no"])
+    heads = (
+        records.filter((F.col("block") == 0) & F.col("cells").isNotNull() & (F.size(F.array_compact("cells")) > 0))
+        .groupBy("source_path")
+        .agg(F.min("record_no").alias("_head_no"), F.min_by("cells", "record_no").alias("_head"))
+    )
+    body = salted_join(records, heads, ["source_path"], ["record_no"]).filter(
+        F.col("record_no") > F.col("_head_no")
+    )
 
     def cell(name: str) -> Column:
         at = F.array_position("_head", F.lit(name))
         return F.when(at > 0, F.get("cells", (at - 1).cast("int"))).alias(name)
 
-    return body.select("source_path", row_no, *[cell(c) for c in STYLE_COLUMNS])
+    below = (F.col("record_no") - F.col("_head_no") - 1).alias("row_no")
+    return body.select("source_path", below, *[cell(c) for c in STYLE_COLUMNS])

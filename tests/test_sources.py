@@ -77,6 +77,7 @@ CSV_SHAPES = {
     "mixed": 'speaker,text,type\na,"x\ny",style\r\nb,"p\r\nq",info\nc,plain,"style"\r\nd,e,"info"\n',
     "crlf_header": 'speaker,text,type\r\na,"x\ny",style\nb,"p\r\nq",info\r\nc,plain,"style"\nd,e,info\r\n',
     "blank_lines": "speaker,text,type\n\na,b,style\n\n\nc,d,info",
+    "blank_first": "\n\r\nspeaker,text,type\na,b,style\n",
     "no_last_newline": 'speaker,text,type\na,"",style\nc,d',
     "stray_quotes": 'speaker,text,type\na,5" pipe,style\nb,say "hi" now,info\nc,"q ""w"" e",info\nd,x "",info\n',
     "bom": "\ufeffspeaker,text,type\na,b,style\n",
@@ -84,7 +85,7 @@ CSV_SHAPES = {
 }
 
 
-@pytest.mark.parametrize("split", [5, 1_000_000])
+@pytest.mark.parametrize("split", [9, 1_000_000])
 def test_style_csv_like_pandas(spark, tmp_path, split):
     paths = []
     for name, body in CSV_SHAPES.items():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +64,11 @@ def read_text_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
+def texts_from_rows(spark: SparkSession, rows: Sequence[Mapping[str, str]]) -> DataFrame:
+    """A ``text`` column from a few rows at hand; none give an empty table."""
+    return spark.createDataFrame([(r["text"],) for r in rows], "text string")
+
+
 def path_key(path: str) -> str:
     """A path as ``_metadata.file_path`` shows it, without ``file:``."""
     if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", path):

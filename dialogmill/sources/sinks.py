@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SHARD_BYTES = 2 * 1024**3  # fixed value: shard limit of the reference set-up
 TOKEN_COLUMNS = 3  # input_ids, attention_mask, labels
@@ -45,7 +44,3 @@ def write_style_csv(rows: DataFrame, path: str, mode: str = "errorifexists") ->
 def write_metrics(metrics: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A one-row table such as ``vocab_size`` next to the data."""
     metrics.coalesce(1).write.mode(mode).parquet(path)
-
-
-def row_count(spark_rows: DataFrame) -> DataFrame:
-    return spark_rows.agg(F.count("*").alias("n_rows"))

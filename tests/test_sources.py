@@ -165,6 +165,12 @@ def test_many_paths_are_numbered_by_join(spark, folder):
     assert [(r.source_no, r.messages[2].content) for r in rows] == [(i, f"text {i}") for i in range(70)]
 
 
+def test_texts_from_rows(spark):
+    rows = files.texts_from_rows(spark, [{"text": "a"}, {"text": "b"}])
+    assert [r.text for r in rows.collect()] == ["a", "b"]
+    assert files.texts_from_rows(spark, []).columns == ["text"]
+
+
 def test_no_readable_path_gives_empty_tables(spark):
     good, bad, skipped = files.read_conversations(spark, ["x.md"], "SYS")
     assert skipped == ["x.md"]

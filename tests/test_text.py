@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dialogmill.functions import text as t
-from dialogmill.functions.progress import final_line, progress_fraction, status_line
+from dialogmill.functions.progress import final_line, progress_fraction, status_line, stop_line
 
 MARK = t.DEFAULT_MARKER
 CHARS = st.sampled_from(list(t.PY_WHITESPACE) + list("aéb-E.​﻿") + [MARK, "-éveré", "\r\n"])
@@ -79,3 +79,4 @@ def test_progress_and_status(spark):
     line = evaluate(spark, [0.03125], status_line(F.lit(7), 2000, F.col("v")), "double")
     assert line == ["Step 7/2000 | Loss: 0.0312"]
     assert evaluate(spark, [None], final_line(F.col("v")), "double") == ["Training completed (loss not recorded)"]
+    assert evaluate(spark, [0.2], stop_line(F.col("v"), 0.26), "double") == ["Loss 0.2000 below threshold 0.26"]

@@ -35,14 +35,34 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
 
 
+def _magnitude() -> Column:
+    """``n`` on a coarse scale of a few hundred values."""
+    return F.floor(F.log2(F.col("n")) * 8)
+
+
+def _cutoff(counts: DataFrame, size: int) -> Column:
+    """The highest magnitude at or above which ``size`` tokens are found."""
+    above = Window.orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = (
+        counts.groupBy(_magnitude().alias("m"))
+        .agg(F.count("*").alias("k"))
+        .select("m", F.sum("k").over(above).alias("k"))
+        .filter(F.col("k") >= size)
+        .agg(F.max("m").alias("m"))
+    )
+    return F.coalesce(reached.scalar(), F.lit(0))
+
+
 def learn_vocab(
     texts: DataFrame, text: str, size: int, special: SpecialTokens = SpecialTokens()
 ) -> DataFrame:
     """``(token_id, token, n)`` of the ``size`` most frequent tokens.
 
     Counts are combined before the shuffle, so a token that makes up a third of
-    the corpus costs one row per task. The row number is taken over the ``size``
-    survivors only. ``explode_outer`` because ``explode`` makes Catalyst add a
+    the corpus costs one row per task. The final sort is one task, so rarer
+    tokens that cannot be among the ``size`` are dropped before it, by a cutoff
+    from a histogram of the same counts, whose shuffle Spark reuses. The row
+    number is taken over the survivors only. ``explode_outer`` because ``explode`` makes Catalyst add a
     filter that runs the regular expression again for every row.
     """
     counts = (
@@ -53,7 +73,8 @@ def learn_vocab(
     )
     order = [F.desc("n"), F.asc("token")]
     return (
-        counts.orderBy(*order)
+        counts.filter(_magnitude() >= _cutoff(counts, size))
+        .orderBy(*order)
         .limit(size)
         .select(
             (F.row_number().over(Window.orderBy(*order)) + F.lit(special.reserved - 1))

@@ -15,12 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialogmill.operators.skew import salted_join
-
 STYLE_COLUMNS = ("speaker", "text", "type")
 # A doubled quote stands for a quote; Spark's default escape is the backslash.
 CSV_OPTIONS = {"quote": '"', "escape": '"', "sep": ",", "multiLine": "true"}
 BLOCK = ("source_path", "block")
+PLACES = [f"_at_{c}" for c in STYLE_COLUMNS]
 
 
 def _ends_inside(line: Column, begins_inside: bool) -> Column:
@@ -67,8 +66,36 @@ def _state(entry: int) -> Column:
     return (F.coalesce("_last", F.lit(entry)) + F.col("_flips")) % 2
 
 
-def _numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``(source_path, block, id, value, record_no, whole)`` for each line."""
+def _split(record: Column, n_cells: int) -> Column:
+    """The fields of one record, as an array."""
+    names = [f"c{i}" for i in range(n_cells)]
+    fields = F.from_csv(record, F.lit(", ".join(f"{n} string" for n in names)), CSV_OPTIONS)
+    return F.array(*[fields[n] for n in names])
+
+
+def _without_cr(line: Column) -> Column:
+    return F.regexp_replace(line, r"\r\z", "")
+
+
+def _places(header: Column, columns: Sequence[str] | None) -> dict[str, Column]:
+    """Where each style column stands in a header, from 1; 0 when absent."""
+    found = {c: F.array_position(header, F.lit(c)).cast("int") for c in STYLE_COLUMNS}
+    if columns:
+        same = F.slice(header, 1, len(columns)) == F.array(*map(F.lit, columns))
+        extra = F.size(F.array_compact(header)) > len(columns)
+        wrong = F.raise_error(F.concat(F.lit("CSV header does not match in "), F.col("source_path")))
+        found = {
+            c: F.when(F.coalesce(same & ~extra, F.lit(False)), at).otherwise(wrong.cast("int"))
+            for c, at in found.items()
+        }
+    return {f"_at_{c}": at for c, at in found.items()}
+
+
+def _numbered_lines(
+    spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None, n_cells: int
+) -> DataFrame:
+    """``(source_path, block, id, value, record_no, whole)`` for each line below
+    the header, ``record_no`` from 0, and the places of the style columns."""
     lines = (
         spark.read.option("lineSep", "\n")
         .text(list(paths))
@@ -81,6 +108,7 @@ def _numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             _ends_inside(F.col("value"), False).alias("out0"),
             _ends_inside(F.col("value"), True).alias("out1"),
         )
+        .withColumn("_head", F.when((F.col("block") == 0) & (_without_cr(F.col("value")) != ""), F.col("value")))
     )
     upto = Window.partitionBy(*BLOCK).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     followed = (
@@ -90,18 +118,32 @@ def _numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         .withColumns({"_begun0": F.sum("_begins0").over(upto), "_begun1": F.sum("_begins1").over(upto)})
     )
     newest_set = F.max_by("_set", F.when(F.col("_set").isNotNull(), F.col("id")))
+    head_id = F.when(F.col("_head").isNotNull(), F.col("id"))
     blocks = followed.groupBy(*BLOCK).agg(
         ((F.coalesce(newest_set, F.lit(0)) + F.sum(_switches())) % 2).alias("out0"),
         ((F.coalesce(newest_set, F.lit(1)) + F.sum(_switches())) % 2).alias("out1"),
         F.sum("_begins0").alias("_n0"),
         F.sum("_begins1").alias("_n1"),
+        F.min_by("_head", head_id).alias("_head"),
+        # lines of a block have consecutive ids, and those above the header are blank
+        (F.min(head_id) - F.min("id")).alias("_head_no"),
     )
-    earlier = Window.partitionBy("source_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    by_file = Window.partitionBy("source_path").orderBy("block")
+    earlier = by_file.rowsBetween(Window.unboundedPreceding, -1)
     entries = (
         _follow(blocks, "block", "source_path")
         .withColumn("_entry", _state(0))
         .withColumn("_n", F.when(F.col("_entry") == 0, F.col("_n0")).otherwise(F.col("_n1")))
-        .select(*BLOCK, "_entry", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        .select(
+            *BLOCK,
+            "_entry",
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+            F.first("_head").over(by_file).alias("_head"),
+            F.first("_head_no").over(by_file).alias("_head_no"),
+        )
+        .withColumn("_head", _split(_without_cr(F.col("_head")), n_cells))
+        .withColumns(_places(F.col("_head"), columns))
+        .drop("_head")
     )
     outside = F.col("_entry") == 0
     begins = F.when(outside, F.col("_begins0")).otherwise(F.col("_begins1"))
@@ -111,36 +153,10 @@ def _numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         "id",
         "value",
         # a line that begins no record belongs to the last one begun before
-        (F.col("_before") + begun - 1).alias("record_no"),
+        (F.col("_before") + begun - F.col("_head_no") - 2).alias("record_no"),
         ((begins == 1) & (F.col("out0") == 0)).alias("whole"),
-    )
-
-
-def _records(spark: SparkSession, paths: Sequence[str], n_cells: int) -> DataFrame:
-    """``(source_path, block, record_no, cells)``, ``block`` being that of the
-    first line; only the lines of records with embedded newlines are gathered."""
-    numbered = _numbered_lines(spark, paths)
-    single = numbered.filter("whole").select(*BLOCK, "record_no", "value")
-    several = (
-        numbered.filter(~F.col("whole"))
-        .groupBy("source_path", "record_no")
-        .agg(F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("_lines"))
-        .select(
-            "source_path",
-            F.get("_lines", F.lit(0))["block"].alias("block"),
-            "record_no",
-            F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("value"),
-        )
-    )
-    names = [f"c{i}" for i in range(n_cells)]
-    fields = F.from_csv("value", F.lit(", ".join(f"{n} string" for n in names)), CSV_OPTIONS)
-    return (
-        single.unionByName(several)
-        .withColumn("value", F.regexp_replace("value", r"\r\z", ""))
-        .filter((F.col("value") != "") | (F.col("record_no") == 0))
-        .select(*BLOCK, "record_no", fields.alias("_f"))
-        .select(*BLOCK, "record_no", F.array(*[F.col("_f")[n] for n in names]).alias("cells"))
-    )
+        *PLACES,
+    ).filter(F.col("record_no") >= 0)
 
 
 def read_style_csv(
@@ -152,39 +168,40 @@ def read_style_csv(
     """``(source_path, row_no, speaker, text, type)``, all values as strings.
 
     Columns are found by name in each file's header, its first line that is not
-    blank; a column the file lacks is null. With ``columns`` given, the first
-    line of every file must be just that header, any other fails the read, and
-    the join with the headers is saved.
+    blank; a column the file lacks is null. With ``columns`` given, every header
+    must be just that, and any other fails the read.
 
     ``row_no`` counts a file's records from 0 and does not depend on how the
-    file was split. Blank lines are counted and left out.
+    file was split. Blank lines are counted and left out. Only the lines of
+    records with embedded newlines are gathered.
     """
-    records = _records(spark, paths, len(columns) if columns else max_columns)
-    row_no = (F.col("record_no") - 1).alias("row_no")
-    if columns:
-        same = F.col("cells") == F.array(*map(F.lit, columns))
-        wrong = F.raise_error(F.concat(F.lit("CSV header does not match in "), F.col("source_path")))
-        body = records.filter(
-            F.when(F.col("record_no") > 0, True).when(same, False).otherwise(wrong.cast("boolean"))
+    numbered = _numbered_lines(spark, paths, columns, max_columns)
+    single = numbered.filter("whole").select("source_path", "record_no", "value", *PLACES)
+    several = (
+        numbered.filter(~F.col("whole"))
+        .groupBy("source_path", "record_no")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("_lines"),
+            *[F.max(p).alias(p) for p in PLACES],
+        )
+        .select(
+            "source_path",
+            "record_no",
+            F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("value"),
+            *PLACES,
         )
-        place = {c: i for i, c in enumerate(columns)}
-        cells = [
-            (F.col("cells")[place[c]] if c in place else F.lit(None).cast("string")).alias(c)
-            for c in STYLE_COLUMNS
-        ]
-        return body.select("source_path", row_no, *cells)
-    heads = (
-        records.filter((F.col("block") == 0) & F.col("cells").isNotNull() & (F.size(F.array_compact("cells")) > 0))
-        .groupBy("source_path")
-        .agg(F.min("record_no").alias("_head_no"), F.min_by("cells", "record_no").alias("_head"))
     )
-    body = salted_join(records, heads, ["source_path"], ["record_no"]).filter(
-        F.col("record_no") > F.col("_head_no")
+    records = (
+        single.unionByName(several)
+        .withColumn("value", _without_cr(F.col("value")))
+        .filter(F.col("value") != "")
+        .withColumn("_cells", _split(F.col("value"), max_columns))
+    )
+    return records.select(
+        "source_path",
+        F.col("record_no").alias("row_no"),
+        *[
+            F.when(F.col(p) > 0, F.get("_cells", F.col(p) - 1)).alias(c)
+            for c, p in zip(STYLE_COLUMNS, PLACES)
+        ],
     )
-
-    def cell(name: str) -> Column:
-        at = F.array_position("_head", F.lit(name))
-        return F.when(at > 0, F.get("cells", (at - 1).cast("int"))).alias(name)
-
-    below = (F.col("record_no") - F.col("_head_no") - 1).alias("row_no")
-    return body.select("source_path", below, *[cell(c) for c in STYLE_COLUMNS])

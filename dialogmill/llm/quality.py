@@ -33,7 +33,7 @@ MEASURES = (
     ("word_length", "high", 3.0),
     ("symbol_share", "high", 0.05),
     ("copy_line_share", "high", 0.3),
-    ("repeat_share", "high", 0.1),
+    ("repeat_share", "high", 0.2),
 )
 
 

@@ -6,18 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogmill.llm import bpe, quality, simhash, token_files
+from dialogmill.llm import bpe, line_dedup, mixing, quality, simhash, token_files
 from dialogmill.session import shared_folder
 
 #: Ids of the vocabulary of word_bpe_49k.json, its special tokens included.
 WORD_VOCABULARY = 49_408
 SHINGLE_WORDS = 3
+MIX_SEED = 0
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.near_lines(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     folder = shared_folder(spark, "token-files")
@@ -29,6 +34,52 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), MIX_SEED)
+    return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+OP3_SQL = f"""
+WITH rows AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size
+  FROM documents),
+docs AS (
+  SELECT doc_id, source, size, coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(text) AS name FROM rows),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM docs GROUP BY source),
+-- each source as the last one that is filled to twice its size
+tried AS (
+  SELECT s.source, 2.0 * s.source_size / s.weight AS edge,
+         (SELECT 1.5 * sum(source_size) FROM sources)
+           - (SELECT coalesce(sum(2 * o.source_size), 0) FROM sources o WHERE 2.0 * o.source_size / o.weight < 2.0 * s.source_size / s.weight) AS remain,
+         (SELECT sum(o.weight) FROM sources o WHERE 2.0 * o.source_size / o.weight >= 2.0 * s.source_size / s.weight) AS heavy
+  FROM sources s),
+chosen AS (SELECT min(edge) AS edge, min_by(CAST(remain AS DOUBLE) / CAST(heavy AS DOUBLE), edge) AS level
+           FROM tried WHERE CAST(remain AS DOUBLE) / CAST(heavy AS DOUBLE) <= edge),
+plan AS (
+  SELECT source, source_size,
+         CASE WHEN source_size = 0 THEN 0.0 ELSE least(CAST(2 * source_size AS DOUBLE), level * weight) END AS target
+  FROM sources, chosen),
+split AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM plan),
+ranked AS (
+  SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
+         CAST('0x' || substr(md5('{MIX_SEED}:' || d.name), 1, 13) AS UBIGINT) AS u
+  FROM docs d JOIN split p ON d.source IS NOT DISTINCT FROM p.source),
+summed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, name RANGE UNBOUNDED PRECEDING) AS upto,
+         sum(size) OVER (PARTITION BY source, u, name) AS own
+  FROM ranked)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target,
+       whole + CAST(rest > 0 AND upto - own / 2 <= rest AS BIGINT) AS copies,
+       CAST(size * (whole + CAST(rest > 0 AND upto - own / 2 <= rest AS BIGINT)) AS BIGINT) AS taken
+FROM summed
+"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
@@ -51,9 +102,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_token_files": op2_token_files,
+    "op3_mixing": op3_mixing,
     "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op3_mixing": OP3_SQL}

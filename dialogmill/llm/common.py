@@ -42,7 +42,7 @@ def row_key(*columns: str) -> Column:
     return F.unhex(F.md5(F.concat(*parts).cast("binary")))
 
 
-def stratified_sample(rows: DataFrame, by: str, key: str, each: int, strata: int, seed: int = 0) -> DataFrame:
+def stratified_sample(rows: DataFrame, by: str, key: str, each: int | Column, strata: int, seed: int = 0) -> DataFrame:
     """About ``each`` rows of each value of ``by``, for the ``strata`` commonest values.
 
     A row is taken if a hash of its key falls below ``each`` divided by its

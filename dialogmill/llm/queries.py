@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogmill.llm import bpe, line_dedup, mixing, quality, simhash, token_files
+from dialogmill.llm import (
+    bpe,
+    langid,
+    line_dedup,
+    lm_score,
+    mixing,
+    neighbours,
+    quality,
+    simhash,
+    token_files,
+    toxicity,
+)
 from dialogmill.session import shared_folder
 
 #: Ids of the vocabulary of word_bpe_49k.json, its special tokens included.
@@ -80,10 +91,22 @@ FROM summed
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.judge(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), SHINGLE_WORDS)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -101,12 +124,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
+    "op5_neighbours": op5_neighbours,
     "op6_quality": op6_quality,
+    "op7_lm_score": op7_lm_score,
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
+    "op10_langid": op10_langid,
 }
 ORACLE = {"op3_mixing": OP3_SQL}

@@ -19,8 +19,9 @@ from dialogmill.llm.components import components
 EDITS = 2
 #: Shorter lines, of a few words, are left alone: headings and the like repeat by nature.
 MIN_CHARS = 40
-#: Lines with one segment in common above which they are paired in blocks.
-MAX_BUCKET = 64
+#: Lines with one segment in common above which they are paired in blocks, and lines of a block.
+MAX_BUCKET = 16
+BLOCK = 256
 #: Lines up to which their ids are sent to all executors, some MB.
 MAX_BROADCAST = 500_000
 #: Letters counted: an edit changes these counts by two at most.
@@ -119,7 +120,7 @@ def edit_links(classes: DataFrame, edits: int = EDITS) -> DataFrame:
     """Edges (u, v), u < v, of ids of different lines within ``edits`` edits; each once, none lost.
 
     Segments shared by over ``MAX_BUCKET`` lines, as of near copies by the thousand,
-    are joined in blocks of that size over many tasks, comparing letter counts in the
+    are joined in blocks over many tasks, comparing letter counts in the
     join, so that what leaves it are lines alike and not all pairs of the segment.
     """
     index_keys, probe_keys = _keys(F.col("line"), F.col("chars"), edits)
@@ -137,7 +138,7 @@ def edit_links(classes: DataFrame, edits: int = EDITS) -> DataFrame:
         .where(_like(F.col("a.letters"), F.col("b.letters"), edits))
         .select("u", "v")
     )
-    blocks = F.ceil(F.col("n") / MAX_BUCKET).cast("int")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     left = index.join(hot, "key").join(letters, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     right = probe.join(hot, "key").join(letters, "id").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     crowded = (

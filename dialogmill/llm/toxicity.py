@@ -28,8 +28,10 @@ SAMPLE_TOXIC = 1200
 SAMPLE_CHARS = 20_000
 #: Each mean also counts that many subwords that say nothing: a short text needs more than one odd letter run.
 NEUTRAL = 100
-#: Rows of the table met in fewer of those texts stay out, as one text would be learned by heart.
+#: Rows of the table met in fewer of those texts (or of a hundredth of them) stay out, as one text would be learned by heart.
 MIN_TEXTS = 15
+#: Steps, of 32 texts each, taken at least, however few the texts.
+MIN_STEPS = 600
 #: Words kept with their sums in a worker; emptied when full.
 CACHE_WORDS = 400_000
 
@@ -104,9 +106,9 @@ def fit(texts: list[str], labels: Iterable[int], seed: int = 0, epochs: int = 6,
     table_sum, weights_sum, bias_sum = (np.full(a.shape, 1e-6, np.float32) for a in (table, weights, bias))
     bags = _bags(texts, buckets)
     spread = np.bincount(np.concatenate([rows for rows, _ in bags]), minlength=buckets)
-    usual = spread >= MIN_TEXTS
+    usual = spread >= min(MIN_TEXTS, max(2, len(y) // 100))
     bags = [(rows[usual[rows]], shares[usual[rows]]) for rows, shares in bags]
-    for epoch in range(epochs):
+    for _ in range(max(epochs, MIN_STEPS * 32 // len(y))):
         order = rng.permutation(len(y))
         for chosen in np.array_split(order, max(1, len(y) // 32)):
             sizes = [len(bags[i][0]) for i in chosen]

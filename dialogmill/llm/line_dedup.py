@@ -25,7 +25,7 @@ BLOCK = 256
 #: Lines up to which their ids are sent to all executors, some MB.
 MAX_BROADCAST = 500_000
 #: Letters counted: an edit changes these counts by two at most.
-LETTERS = "etaoinshrdlu"
+LETTERS = "etaoinshrdlucmpg"
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -127,7 +127,7 @@ def edit_links(classes: DataFrame, edits: int = EDITS) -> DataFrame:
     index = classes.select("id", F.explode(index_keys).alias("key"))
     probe = classes.select("id", F.explode(probe_keys).alias("key"))
     hot = settled(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_BUCKET), "segments")
-    letters = classes.select("id", "letters")
+    letters = classes.select("id", "letters", "chars")
     pair = (F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
 
     rare = index.join(hot.select("key"), "key", "left_anti")
@@ -143,7 +143,8 @@ def edit_links(classes: DataFrame, edits: int = EDITS) -> DataFrame:
     right = probe.join(hot, "key").join(letters, "id").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     crowded = (
         left.alias("a").join(right.alias("b"), ["key", "block"])
-        .where((F.col("a.id") != F.col("b.id")) & _like(F.col("a.letters"), F.col("b.letters"), edits))
+        # lines of one length probe each other, so one of the two meetings is enough
+        .where((F.expr("a.chars < b.chars OR a.id < b.id")) & (F.col("a.id") != F.col("b.id")) & _like(F.col("a.letters"), F.col("b.letters"), edits))
         .select(*pair)
     )
     alike = settled(pairs.union(crowded).distinct(), "alike")

@@ -17,7 +17,7 @@ from dialogmill.operators.vocab import SpecialTokens
 # The batch settings of the reference set-up.
 ROWS_PER_MICRO_BATCH = 2
 MICRO_BATCHES_PER_STEP = 16
-MAX_STEPS = 2000
+MAX_STEPS = 2000  # that set-up's cap on steps; no default here
 
 MAX_BROADCAST_SLOTS = 1_000_000
 ROWS_PER_BUCKET = 100_000
@@ -31,7 +31,7 @@ def batch_plan(
     rows: DataFrame,
     key: str,
     seed: int = 42,
-    max_steps: int | None = MAX_STEPS,
+    max_steps: int | None = None,
     epochs: int | None = None,
     micro_rows: int = ROWS_PER_MICRO_BATCH,
     micros: int = MICRO_BATCHES_PER_STEP,
@@ -46,12 +46,13 @@ def batch_plan(
     counts, plus the row number in the bucket. Bucket numbers come from the row
     count, read as a scalar subquery, so nothing is counted on the driver.
 
-    With ``max_steps`` the epochs follow from the row count, and buckets past
+    Without ``max_steps`` every row is used once in each of ``epochs``, one by
+    default; zero of either is an empty plan. With ``max_steps`` the epochs follow from the row count, and buckets past
     the last step are dropped before rows are shuffled: at a large scale a few
     buckets out of thousands remain.
     """
     if max_steps is None and epochs is None:
-        raise ValueError("give max_steps or epochs")
+        epochs = 1
     per_step = micro_rows * micros
     keys = rows.select(key)
     totals = keys.agg(F.count("*").alias("n"))
@@ -63,7 +64,7 @@ def batch_plan(
     ).cast("int")
     n_buckets = F.ceil(n / F.lit(rows_per_bucket))
 
-    uses = keys.withColumn("epoch", F.explode(F.sequence(F.lit(0), n_epochs - 1)))
+    uses = keys.withColumn("epoch", F.explode(F.when(n_epochs > 0, F.sequence(F.lit(0), n_epochs - 1))))
     hashed = uses.withColumn("_h", order_key(seed, F.col("epoch"), F.col(key)))
     # 40 bits of the hash times the bucket count stays inside a long up to 2^22 buckets
     top = F.conv(F.substring("_h", 1, 10), 16, 10).cast("long")
@@ -101,7 +102,7 @@ def batch_plan(
 
 
 def planned_rows(
-    rows: DataFrame, plan: DataFrame, key: str, max_steps: int | None = MAX_STEPS,
+    rows: DataFrame, plan: DataFrame, key: str, max_steps: int | None = None,
     rows_per_step: int = ROWS_PER_MICRO_BATCH * MICRO_BATCHES_PER_STEP,
 ) -> DataFrame:
     """Rows the plan uses, once each, with their places in ``uses``.

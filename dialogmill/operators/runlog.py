@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialogmill.functions.progress import final_line, progress_fraction, status_line
-from dialogmill.operators.skew import salted_join
 
 # Log interval and stop threshold of the reference set-up.
 LOG_EVERY = 10
@@ -126,7 +125,7 @@ def steps_until_stop(log: DataFrame, threshold: float = STOP_LOSS) -> DataFrame:
     """The log rows a run has executed when it stops early."""
     stops = early_stop(log, threshold).select("run", "stop_seen_step")
     return (
-        salted_join(log, stops, ["run"], ["step"])
+        log.join(stops, ["run"])
         .filter(F.col("stop_seen_step").isNull() | (F.col("step") <= F.col("stop_seen_step")))
         .drop("stop_seen_step")
     )

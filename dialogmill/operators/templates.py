@@ -90,7 +90,9 @@ def _render(
         "",
     )
     tail = F.when(is_last, generation_prompt).otherwise("")
-    return F.concat(head, body, tail)
+    # array_join passes over nulls: a message without content makes the whole text null, never shorter
+    complete = ~F.exists(messages, lambda m: m["content"].isNull())
+    return F.when(complete, F.concat(head, body, tail))
 
 
 def render(

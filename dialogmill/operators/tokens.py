@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -74,20 +71,22 @@ def encode_by_join(
 ) -> DataFrame:
     """The same result for a vocabulary of any size, with joins only.
 
-    Frequent words are hot join keys, so they are salted. ``key`` has to be
-    unique; the ids gathered for one key are those of one text.
+    Frequent words are hot join keys, so they are salted. Ids are gathered by key
+    and text together, and once for each place: keys may repeat or be null, and
+    rows equal in both have the same ids.
     """
-    sized = _split_words(rows, text, max_tokens)
-    pieces = sized.select(key, F.posexplode_outer("_words").alias("_pos", "token")).filter(
+    name = F.concat(F.coalesce(F.concat(F.lit("+"), F.col(key).cast("string")), F.lit("-")), F.lit(":"), F.coalesce(text, F.lit("")))
+    sized = _split_words(rows, text, max_tokens).withColumn("_row", F.md5(name.cast("binary")))
+    pieces = sized.select("_row", F.posexplode_outer("_words").alias("_pos", "token")).filter(
         F.col("token").isNotNull()
     )
     ids = (
-        salted_join(pieces, vocab.select("token", "token_id"), ["token"], [key, "_pos"], "left")
-        .groupBy(key)
+        salted_join(pieces, vocab.select("token", "token_id"), ["token"], ["_row", "_pos"], "left")
+        .groupBy("_row")
         .agg(
             F.transform(
                 F.array_sort(
-                    F.collect_list(F.struct("_pos", F.coalesce("token_id", F.lit(special.unk)).alias("id")))
+                    F.collect_set(F.struct("_pos", F.coalesce("token_id", F.lit(special.unk)).alias("id")))
                 ),
                 lambda t: t["id"],
             ).alias("ids")
@@ -95,35 +94,10 @@ def encode_by_join(
     )
     empty = F.when(F.col(text).isNotNull(), F.array().cast("array<int>"))
     return (
-        sized.drop("_words").join(ids, key, "left").withColumn("ids", F.coalesce("ids", empty))
+        sized.drop("_words").join(ids, "_row", "left").withColumn("ids", F.coalesce("ids", empty)).drop("_row")
     )
 
 
-def encode_with_tokenizer(
-    rows: DataFrame, text: str, tokenizer_json: str, add_special_tokens: bool = True
-) -> DataFrame:
-    """Add ``ids`` from a trained tokenizer, given in its JSON form.
-
-    The tokenizer is built once per task; texts reach it in Arrow batches.
-    ``add_special_tokens`` lets it add its own start and end tokens, if any.
-    """
-    source = rows.sparkSession.sparkContext.broadcast(tokenizer_json)
-
-    @F.arrow_udf("array<int>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(source.value)
-        for batch in batches:
-            texts = batch.to_pylist()
-            done = tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=add_special_tokens)
-            ids = [None if t is None else e.ids for t, e in zip(texts, done)]
-            yield pa.array(ids, pa.list_(pa.int32()))
-
-    return rows.withColumn("ids", run(F.col(text)))
-
-
 def truncate(ids: Column, length: int = MAX_LENGTH) -> Column:
     return F.slice(ids, 1, length)
 

@@ -40,50 +40,38 @@ def _magnitude() -> Column:
     return F.floor(F.log2(F.col("n")) * 8)
 
 
-def _cutoff(counts: DataFrame, size: int) -> Column:
-    """The highest magnitude at or above which ``size`` tokens are found."""
-    above = Window.orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, 0)
-    reached = (
-        counts.groupBy(_magnitude().alias("m"))
-        .agg(F.count("*").alias("k"))
-        .select("m", F.sum("k").over(above).alias("k"))
-        .filter(F.col("k") >= size)
-        .agg(F.max("m").alias("m"))
-    )
-    return F.coalesce(reached.scalar(), F.lit(0))
-
-
 def learn_vocab(
-    texts: DataFrame, text: str, size: int, special: SpecialTokens = SpecialTokens()
+    texts: DataFrame, text: str, size: int | None = None, special: SpecialTokens = SpecialTokens()
 ) -> DataFrame:
-    """``(token_id, token, n)`` of the ``size`` most frequent tokens.
+    """``(token_id, token, n)`` of all tokens, or of the ``size`` most frequent ones.
 
     Counts are combined before the shuffle, so a token that makes up a third of
-    the corpus costs one row per task. The final sort is one task, so rarer
-    tokens that cannot be among the ``size`` are dropped before it, by a cutoff
-    from a histogram of the same counts, whose shuffle Spark reuses. The row
-    number is taken over the survivors only. ``explode_outer`` because ``explode`` makes Catalyst add a
-    filter that runs the regular expression again for every row.
+    the corpus costs one row per task. Ids rise with falling counts, then with
+    the token. No task numbers all of them: tokens fall into buckets by the
+    magnitude of their count and, where one magnitude is one small count, by
+    their first two characters; an id is the number of tokens in earlier buckets
+    plus the place in the bucket. ``explode_outer`` because ``explode`` makes Catalyst
+    add a filter that runs the regular expression again for every row.
     """
     counts = (
         texts.select(F.explode_outer(words(F.col(text))).alias("token"))
         .filter(F.col("token").isNotNull())
         .groupBy("token")
         .agg(F.count("*").alias("n"))
+        # up to 16 a magnitude is a single count, so the token alone orders it
+        .withColumns({"_m": _magnitude(), "_p": F.when(F.col("n") <= 16, F.substring("token", 1, 2)).otherwise("")})
     )
-    order = [F.desc("n"), F.asc("token")]
-    return (
-        counts.filter(_magnitude() >= _cutoff(counts, size))
-        .orderBy(*order)
-        .limit(size)
-        .select(
-            (F.row_number().over(Window.orderBy(*order)) + F.lit(special.reserved - 1))
-            .cast("int")
-            .alias("token_id"),
-            "token",
-            "n",
-        )
+    before = Window.orderBy(F.desc("_m"), "_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        counts.groupBy("_m", "_p")
+        .agg(F.count("*").alias("_n"))
+        .select("_m", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
+    inside = Window.partitionBy("_m", "_p").orderBy(F.desc("n"), "token")
+    place = F.row_number().over(inside) + F.col("_before")
+    numbered = counts.join(offsets, ["_m", "_p"]).withColumn("_place", place)
+    kept = numbered if size is None else numbered.filter(F.col("_place") <= size)
+    return kept.select((F.col("_place") + F.lit(special.reserved - 1)).cast("int").alias("token_id"), "token", "n")
 
 
 def vocab_size(vocab: DataFrame, special: SpecialTokens = SpecialTokens()) -> DataFrame:

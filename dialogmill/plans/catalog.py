@@ -36,7 +36,6 @@ from dialogmill.operators.tokens import (
     copy_labels,
     encode,
     encode_by_join,
-    encode_with_tokenizer,
     fixed_length,
 )
 from dialogmill.operators.validate import count_errors, missing_fields, row_reason
@@ -51,7 +50,6 @@ from dialogmill.streaming.runstate import latest_state, stream_run_state
 Query = Callable[[SparkSession, str], DataFrame]
 
 SYSTEM_PROMPT = "You are a friendly assistant."
-VOCAB_SIZE = 32_000
 SEED = 42
 MARKER = ". "
 STOPS = ("\n", ". ", "?")
@@ -108,7 +106,7 @@ counts AS (
   GROUP BY token),
 vocab AS (
   SELECT CAST(row_number() OVER (ORDER BY n DESC, token) + {SPECIAL.reserved - 1} AS INTEGER) AS token_id, token, n
-  FROM (SELECT * FROM counts ORDER BY n DESC, token LIMIT {VOCAB_SIZE}))
+  FROM counts)
 """
 ENCODED_CTE = f"""
 {VOCAB_CTE},
@@ -137,8 +135,7 @@ keys AS (
   SELECT 'kb:' || doc_id AS row_key FROM documents
   UNION ALL SELECT 'style:' || conv_id || ':' || turn FROM conversations),
 size AS (SELECT CAST(ceil(count(*) / 32.0) AS BIGINT) AS steps FROM keys),
-uses AS (
-  SELECT row_key, unnest(range(CAST(ceil(2000.0 / steps) AS BIGINT))) AS epoch, steps FROM keys, size),
+uses AS (SELECT row_key, 0 AS epoch, steps FROM keys, size),
 placed AS (
   SELECT row_key, epoch, steps,
          row_number() OVER (PARTITION BY epoch ORDER BY md5('{SEED}:' || epoch || ':' || row_key), row_key) - 1 AS pos
@@ -146,7 +143,7 @@ placed AS (
 plan AS (
   SELECT row_key, CAST(epoch AS INTEGER) AS epoch, pos, epoch * steps + pos // 32 AS step,
          CAST(pos % 32 // 2 AS INTEGER) AS micro_batch, CAST(pos % 2 AS INTEGER) AS slot
-  FROM placed WHERE epoch * steps + pos // 32 < 2000)
+  FROM placed)
 """
 STEPS_CTE = f"""
 steps AS (
@@ -183,7 +180,7 @@ def _md5(array: str | Column) -> Column:
 
 
 def _vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return learn_vocab(spread_small(table(spark, sf, "documents"), "doc_id"), "text", VOCAB_SIZE)
+    return learn_vocab(spread_small(table(spark, sf, "documents"), "doc_id"), "text")
 
 
 def _texts(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
@@ -379,31 +376,6 @@ def tokenized_by_join_query(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("row_key", "n_tokens", _md5("ids").alias("ids_md5"))
 
 
-def word_level_tokenizer(entries: list[tuple[str, int]]) -> str:
-    """JSON of a word-level tokenizer with the given vocabulary."""
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
-
-    ids = {"<unk>": SPECIAL.unk, **dict(entries)}
-    tokenizer = Tokenizer(models.WordLevel(ids, unk_token="<unk>"))
-    # \s of this regex engine knows more blanks than the JVM's, so they are spelled out
-    pattern = r"\p{L}+|\p{N}+|[^ \t\n\x0B\f\r\p{L}\p{N}]"
-    tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
-        [
-            pre_tokenizers.Split(Regex(pattern), "isolated"),
-            pre_tokenizers.Split(Regex(r"[ \t\n\x0B\f\r]+"), "removed"),
-        ]
-    )
-    return tokenizer.to_str()
-
-
-@query(_TOKENIZED_SQL)
-def tokenized_plugin_query(spark: SparkSession, sf: str) -> DataFrame:
-    # at most VOCAB_SIZE rows, the learn_vocab limit
-    entries = [(r.token, r.token_id) for r in _vocab(spark, sf).collect()]
-    rows = encode_with_tokenizer(_texts(spark, sf, spread=True), "text", word_level_tokenizer(entries))
-    return rows.select("row_key", F.size("ids").alias("n_tokens"), _md5("ids").alias("ids_md5"))
-
-
 def _fixed(spark: SparkSession, sf: str) -> DataFrame:
     rows = encode(_texts(spark, sf, spread=True), "text", _vocab(spark, sf), "row_key", max_tokens=MAX_LENGTH)
     return fixed_length(rows.drop("text"))
@@ -582,8 +554,8 @@ def stream_run_state_query(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark, "run-state")
     events = (
         spark.readStream.schema(table(spark, sf, "events").schema)
-        .options(pathGlobFilter="events.parquet", maxFilesPerTrigger=1000)
-        .parquet(sf)
+        .option("maxFilesPerTrigger", 1000)
+        .parquet(f"{sf.rstrip('/')}/events.parquet")
     )
     stream_run_state(logged_steps(events), STEPS_PER_RUN, folder)
     return latest_state(spark.read.parquet(f"{folder}/state"))

@@ -25,7 +25,7 @@ def prepare(
     out: str,
     spec: TemplateSpec = USER_ASSISTANT,
     vocab: DataFrame | None = None,
-    vocab_entries: int = 32_000,
+    vocab_entries: int | None = None,
     special: SpecialTokens = SpecialTokens(),
     length: int = MAX_LENGTH,
 ) -> list[str]:
@@ -38,7 +38,8 @@ def prepare(
     """
     conversations, rejected, skipped = files.read_conversations(spark, paths, system_prompt)
     conversations.select(
-        F.concat_ws(":", "source_no", "row_id").alias("row_key"),
+        # a folder has many files with one place, so the file is part of the key
+        F.concat(F.col("source_no"), F.lit(":"), F.md5("source_path"), F.lit(":"), F.col("row_id")).alias("row_key"),
         render(F.col("messages"), spec).alias("text"),
     ).write.parquet(f"{out}/text")
     rejected.write.parquet(f"{out}/rejected")
@@ -58,7 +59,7 @@ def main() -> None:
     parser.add_argument("--out", required=True)
     parser.add_argument("--system-prompt", required=True)
     parser.add_argument("--template", choices=sorted(TEMPLATES), default=USER_ASSISTANT.name)
-    parser.add_argument("--vocab-entries", type=int, default=32_000)
+    parser.add_argument("--vocab-entries", type=int)
     args = parser.parse_args()
     spark = SparkSession.builder.appName("dialogmill-prepare").getOrCreate()
     skipped = prepare(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialogmill.functions.text import DEFAULT_MARKER, clean_document
-from dialogmill.operators.batches import MAX_STEPS, batch_plan, collate, planned_rows
+from dialogmill.operators.batches import batch_plan, collate, planned_rows
 from dialogmill.operators.prompts import knowledge_messages, style_messages
 from dialogmill.operators.templates import USER_ASSISTANT, TemplateSpec, render
 from dialogmill.operators.tokens import MAX_LENGTH, encode, fixed_length
@@ -87,7 +87,7 @@ def collated_batches(
     system_prompt: str,
     vocab: DataFrame,
     seed: int = 42,
-    max_steps: int | None = MAX_STEPS,
+    max_steps: int | None = None,
     special: SpecialTokens = SpecialTokens(),
     length: int = MAX_LENGTH,
 ) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +16,6 @@ from dialogmill.operators.prompts import knowledge_messages, style_messages
 from dialogmill.operators.validate import row_reason, split_quarantine
 from dialogmill.sources.style_csv import CSV_OPTIONS, STYLE_COLUMNS, read_style_csv
 
-MAX_FOLDER_PATHS = 64
-MAX_BROADCAST_PATHS = 100_000
-
 
 def split_paths(paths: Sequence[str]) -> tuple[list[str], list[str], list[str]]:
     """TXT paths, CSV paths, and the skipped rest. Suffixes are case-sensitive."""
@@ -69,33 +67,54 @@ def texts_from_rows(spark: SparkSession, rows: Sequence[Mapping[str, str]]) -> D
     return spark.createDataFrame([(r["text"],) for r in rows], "text string")
 
 
-def path_key(path: str) -> str:
-    """A path as ``_metadata.file_path`` shows it, without ``file:``."""
-    if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", path):
-        return re.sub(r"^file:/*", "/", path)
-    return os.path.abspath(path)
-
+def path_pattern(path: str) -> str:
+    """A regular expression of the files that a listed path stands for: itself, a glob, or a folder's files.
 
-def _source_key() -> Column:
-    decoded = F.url_decode(F.replace(F.col("source_path"), F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(decoded, "^file:/*", "/")
+    A path without a scheme may be on any default file system, a relative one below any folder.
+    """
+    scheme = re.match(r"^([A-Za-z][A-Za-z0-9+.-]*):(//[^/]*)?", path)
+    rest = path[scheme.end() :] if scheme else path
+    glob = {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|" if "{" in rest else ","}
+    body = re.sub(r"[*?{},]|[^*?{},\[\]]+", lambda m: glob.get(m[0]) or re.escape(m[0]), re.sub("^/+", "/", rest).rstrip("/"))
+    if scheme and scheme[1] != "file":
+        front = re.escape(scheme[0])
+    else:
+        front = r"(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?" + ("" if rest.startswith("/") else "(?:.*/)?")
+    return f"^{front}{body}(?:/.*)?$"
+
+
+def _empty_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The files of zero bytes that listed paths stand for, by the file systems' listings."""
+    found = set()
+    for listed in dict.fromkeys(paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(listed)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for top in system.globStatus(path) or []:
+            for status in system.listStatus(top.getPath()) if top.isDirectory() else [top]:
+                # names with these first letters are no data for Spark
+                if status.isFile() and status.getLen() == 0 and status.getPath().getName()[0] not in "_.":
+                    found.add(status.getPath().toUri().toString())
+    return sorted(found)
 
 
 def _number_sources(rows: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """Add ``source_no``, the place of a row's file in ``paths``. In a short
-    list a path may also be a folder of part files."""
-    order = [(path_key(p), i) for i, p in enumerate(paths)]
-    if len(order) <= MAX_FOLDER_PATHS:
-        places = [
-            F.when((F.col("_key") == p) | F.startswith("_key", F.lit(p.rstrip("/") + "/")), i)
-            for p, i in order
-        ]
-        keyed = rows.withColumn("_key", _source_key())
-        return keyed.withColumn("source_no", F.explode(F.array_compact(F.array(*places)))).drop("_key")
-    numbers = rows.sparkSession.createDataFrame(order, "_key string, source_no int")
-    if len(order) <= MAX_BROADCAST_PATHS:
-        numbers = F.broadcast(numbers)
-    return rows.withColumn("_key", _source_key()).join(numbers, "_key", "left").drop("_key")
+    """Add ``source_no``, the place of a row's file in ``paths``: one rule for any number of them.
+
+    A file that is listed twice, or by itself and by its folder, counts for each. A
+    row whose file matches no path stays, with a null place.
+    """
+    listed = [path_pattern(p) for p in paths]
+
+    @F.pandas_udf("array<int>")
+    def places(found: pd.Series) -> pd.Series:
+        patterns = [re.compile(p) for p in listed]
+        # one look for each file of a batch
+        known = {
+            name: [i for i, p in enumerate(patterns) if p.match(unquote(name))] for name in found.unique()
+        }
+        return found.map(known)
+
+    return rows.withColumn("source_no", F.explode_outer(places("source_path")))
 
 
 _MESSAGES = "array<struct<role:string,content:string>>"
@@ -109,18 +128,18 @@ def read_conversations(
     system_prompt: str,
     marker: str = DEFAULT_MARKER,
     normalize_type: bool = False,
-    keep_empty_files: bool = False,
+    keep_empty_files: bool = True,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Conversations from files of both kinds, rejected rows, skipped paths.
 
-    ``(source_no, row_id)`` is the order of the paths given and of the rows in
-    each file, the same however the work is split. Rows without text or with broken bytes are rejected instead of
-    ending the job. A path given twice counts twice. No readable path gives
-    empty tables of the same schema.
+    ``(source_no, source_path, row_id)`` names a row and is the order of the paths
+    given, of the files in a folder or glob, and of the rows in each file, however the
+    work is split. Rows without text, with broken bytes, or of a file that no path
+    stands for are rejected with a reason. A path given twice counts twice. No
+    readable path gives empty tables of the same schema.
 
-    Spark's file sources pass over files of zero bytes. ``keep_empty_files``
-    adds them back as empty knowledge texts, at the price of a second pass that
-    finds the TXT paths without a row.
+    Spark's file sources pass over files of zero bytes. They are found in the listing
+    and added as empty knowledge texts, unless ``keep_empty_files`` is false.
     """
     txt, csv, skipped = split_paths(paths)
     good, bad = [], []
@@ -129,15 +148,11 @@ def read_conversations(
             "row_id", F.lit(0).cast("long")
         )
         if keep_empty_files:
-            listed = [(i, p) for i, p in enumerate(paths) if p.endswith(".txt")]
-            empty = (
-                spark.createDataFrame(listed, "source_no int, source_path string")
-                .join(files.select("source_no").distinct(), "source_no", "left_anti")
-                .withColumns({"content": F.lit(""), "row_id": F.lit(0).cast("long")})
-            )
+            named = spark.createDataFrame([(p, "") for p in _empty_files(spark, txt)], "source_path string, content string")
+            empty = _number_sources(named, paths).withColumn("row_id", F.lit(0).cast("long"))
             files = files.unionByName(empty)
         # a blank file is a valid, if useless, knowledge text
-        broken = F.when(F.col("content") != "", row_reason(F.col("content")))
+        broken = F.when(F.col("source_no").isNull(), "unlisted_file").when(F.col("content") != "", row_reason(F.col("content")))
         ok, rejected = split_quarantine(files, broken)
         good.append(ok.withColumn("messages", knowledge_messages(F.col("content"))))
         bad.append(rejected.withColumnRenamed("content", "text"))
@@ -145,7 +160,9 @@ def read_conversations(
         lines = _number_sources(
             read_style_csv(spark, list(dict.fromkeys(csv))).withColumnRenamed("row_no", "row_id"), paths
         )
-        ok, rejected = split_quarantine(lines, row_reason(F.col("text")))
+        ok, rejected = split_quarantine(
+            lines, F.when(F.col("source_no").isNull(), "unlisted_file").otherwise(row_reason(F.col("text")))
+        )
         good.append(
             ok.withColumn(
                 "messages",

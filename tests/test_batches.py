@@ -60,3 +60,10 @@ def test_collated_records(spark, max_steps):
         label = -100 if i == 2 else i  # 2 is the pad id
         want.setdefault((step, micro), []).append((slot, [i, 2, 2], [label, -100, -100], [1, 0, 0]))
     assert got == {k: sorted(v) for k, v in want.items()}
+
+
+def test_default_plan_uses_every_row_once_and_zero_is_empty(spark):
+    plan = batch_plan(keys(spark, 100), "row_key", 1)
+    assert plan.count() == 100 and plan.select("row_key").distinct().count() == 100
+    assert batch_plan(keys(spark, 5), "row_key", 1, epochs=0).count() == 0
+    assert batch_plan(keys(spark, 5), "row_key", 1, max_steps=0).count() == 0

@@ -14,7 +14,7 @@ import __spark_entry__ as spark_entry  # noqa: E402
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(spark_entry.oracle_sql()))
 def test_query(spark, name):
     oracle.compare(spark, SF_DIR, name, spark_entry.queries()[name], spark_entry.oracle_sql()[name])
 

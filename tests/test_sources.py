@@ -1,3 +1,4 @@
+import re
 import random
 from contextlib import contextmanager
 
@@ -134,7 +135,7 @@ def test_text_file_keeps_bom_and_normalises_newlines(spark, folder):
 
 def test_mixed_paths_in_the_given_order(spark, folder):
     names = ["d.md", "b.csv", "a b+c.txt", "c.CSV", "bad.txt", "empty.txt", "b.csv"]
-    good, bad, skipped = files.read_conversations(spark, [str(folder / n) for n in names], "SYS", keep_empty_files=True)
+    good, bad, skipped = files.read_conversations(spark, [str(folder / n) for n in names], "SYS")
     assert skipped == [str(folder / "d.md"), str(folder / "c.CSV")]
     rows = (
         good.withColumn("text", render(F.col("messages"), USER_ASSISTANT))
@@ -155,7 +156,7 @@ def test_mixed_paths_in_the_given_order(spark, folder):
     assert reasons == [(1, "missing_text"), (4, "bad_encoding"), (6, "missing_text")]
 
 
-def test_many_paths_are_numbered_by_join(spark, folder):
+def test_many_paths_are_numbered_like_few(spark, folder):
     paths = []
     for i in range(70):
         (folder / f"k{i}.txt").write_text(f"text {i}")
@@ -176,3 +177,33 @@ def test_no_readable_path_gives_empty_tables(spark):
     assert skipped == ["x.md"]
     assert good.columns == ["source_no", "source_path", "row_id", "messages"]
     assert good.count() == 0 and bad.count() == 0
+
+
+def test_folders_globs_and_empty_files_lose_no_row(spark, tmp_path):
+    for name in ("one.txt", "two.txt"):
+        (tmp_path / name).mkdir()
+        for i in range(3):
+            (tmp_path / name / f"part {i}.txt").write_text(f"{name} {i}" if i else "")
+    for paths, places in (
+        ([str(tmp_path / "one.txt"), str(tmp_path / "two.txt")], [0] * 3 + [1] * 3),
+        ([str(tmp_path / "*.txt")], [0] * 6),
+        ([f"file://{tmp_path}/one.txt/part*.txt", str(tmp_path / "two.txt")], [0] * 3 + [1] * 3),
+    ):
+        good, bad, _ = files.read_conversations(spark, paths, "SYS")
+        rows = good.select("source_no", "source_path", "row_id").collect()
+        assert sorted(r.source_no for r in rows) == places and bad.count() == 0
+        assert len(set(map(tuple, rows))) == 6
+
+
+def test_path_patterns():
+    for path, name, fits in (
+        ("/a/b.txt", "file:///a/b.txt", True),
+        ("/a/b.txt", "hdfs://host:8020/a/b.txt", True),
+        ("/a/b.txt", "file:///a/b.txt/part-0.txt", True),
+        ("/a/b.txt", "file:///a/bb.txt", False),
+        ("s3a://k/x*.txt", "s3a://k/x1.txt", True),
+        ("s3a://k/x*.txt", "s3a://other/x1.txt", False),
+        ("b.csv", "file:///home/me/b.csv", True),
+        ("/a/{b,c}.txt", "file:///a/c.txt", True),
+    ):
+        assert bool(re.match(files.path_pattern(path), name)) == fits, (path, name)

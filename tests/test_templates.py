@@ -93,3 +93,9 @@ def test_prompt_by_type(spark):
     got = rows.orderBy("id").select(user_prompt(F.col("k")), user_prompt(F.col("k"), True)).collect()
     assert [r[0] for r in got] == [STYLE_PROMPT] + [INFO_PROMPT] * 4
     assert [r[1] for r in got] == [STYLE_PROMPT, INFO_PROMPT, STYLE_PROMPT, INFO_PROMPT, INFO_PROMPT]
+
+
+def test_a_message_without_content_gives_no_text(spark):
+    rows = spark.sql("SELECT array(named_struct('role', 'system', 'content', 'S'), "
+                     "named_struct('role', 'user', 'content', CAST(NULL AS STRING))) AS m")
+    assert [rows.select(render(F.col("m"), s)).first()[0] for s in (USER_ASSISTANT, HEADER_TOKENS)] == [None, None]

@@ -9,7 +9,6 @@ from dialogmill.operators.tokens import (
     copy_labels,
     encode,
     encode_by_join,
-    encode_with_tokenizer,
     fixed_length,
     masked_labels,
     pad_right,
@@ -56,19 +55,16 @@ def test_both_encoders_agree_with_a_plain_loop(spark, corpus, max_tokens):
         assert got == want
 
 
-def test_plugin_tokenizer(spark, corpus):
-    tokenizers = pytest.importorskip("tokenizers")
-    tok = tokenizers.Tokenizer(tokenizers.models.BPE(unk_token="[U]"))
-    tok.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
-    trainer = tokenizers.trainers.BpeTrainer(special_tokens=["[U]", "[S]"], show_progress=False)
-    tok.train_from_iterator([t for t in TEXTS if t], trainer)
-    tok.post_processor = tokenizers.processors.TemplateProcessing(single="[S] $A", special_tokens=[("[S]", 1)])
-    for special in (True, False):
-        got = {r.row_key: r.ids for r in encode_with_tokenizer(corpus, "text", tok.to_str(), special).collect()}
-        assert got == {
-            f"k{i}": None if t is None else tok.encode(t, add_special_tokens=special).ids
-            for i, t in enumerate(TEXTS)
-        }
+def test_both_encoders_agree_on_repeated_and_null_keys(spark):
+    rows = spark.createDataFrame([("k", "a b"), ("k", "c"), (None, "b a"), (None, None), ("k", "c"), ("z", "")], "row_key string, text string")
+    vocab = learn_vocab(rows, "text")
+    # each of a, b, c twice: equal counts, so in the tokens' order
+    assert [(r.token_id, r.n) for r in vocab.orderBy("token").collect()] == [(3, 2), (4, 2), (5, 2)]
+    got = [
+        sorted(map(repr, (tuple(r) for r in out.select("row_key", "text", "n_tokens", "ids").collect())))
+        for out in (encode(rows, "text", vocab, "row_key"), encode_by_join(rows, "text", vocab, "row_key"))
+    ]
+    assert got[0] == got[1] and len(got[0]) == 6
 
 
 def test_rows_have_one_length(spark):

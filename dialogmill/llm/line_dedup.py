@@ -41,12 +41,17 @@ def _segment(number: int, length: Column, edits: int) -> tuple[Column, Column]:
     return start.cast("int"), (size + (number >= longer).cast("int")).cast("int")
 
 
-def _keys(line: Column, length: Column, edits: int) -> tuple[Column, Column]:
-    """Keys under which a line is indexed, and keys it probes."""
+def _keyed(classes: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key): keys under which lines are indexed, and keys they probe.
+
+    Segments are cut from four bytes a character, where a place is found without
+    walking the line.
+    """
+    wide, length = F.col("wide"), F.col("chars")
 
     def key(number, target, shift):
         start, size = _segment(number, target, edits)
-        return F.xxhash64(F.lit(number), target, F.substring(line, start + (shift + 1), size))
+        return F.xxhash64(F.lit(number), target, F.substring(wide, (start + shift) * 4 + 1, size * 4))
 
     index = [key(i, length, 0) for i in range(edits + 1)]
     probe = [
@@ -55,7 +60,8 @@ def _keys(line: Column, length: Column, edits: int) -> tuple[Column, Column]:
         for i in range(edits + 1)
         for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)
     ]
-    return F.array(*index), F.array(*probe)
+    lines = classes.select("id", "chars", F.encode("line", "UTF-32").alias("wide"))
+    return tuple(lines.select("id", F.explode(F.array(*keys)).alias("key")) for keys in (index, probe))
 
 
 def within_edits(a: str, b: str, edits: int = EDITS) -> Column:
@@ -91,26 +97,38 @@ def within_edits(a: str, b: str, edits: int = EDITS) -> Column:
 
 
 def line_classes(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per different line of some length: id, line, hash, chars, letters, first (doc_id, line_no)."""
+    """One row per different line of some length: id, line, hash, chars, first (doc_id, line_no)."""
     grouped = (
         lines.where(F.length("line") >= min_chars)
         .groupBy("line")
         .agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     )
-    count = [(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c)))).cast("int") for c in LETTERS]
     return settled(
         grouped.select(
             F.monotonically_increasing_id().alias("id"),
             "line",
             F.unhex(F.md5(F.col("line").cast("binary"))).alias("hash"),
             F.length("line").alias("chars"),
-            F.array(*count).alias("letters"),
             "first",
         ),
         "lines",
     )
 
 
+def _counted(classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (id, chars, letters) of the lines of ``ids``, which are far fewer than all unless most lines are alike."""
+    count = [(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c)))).cast("int") for c in LETTERS]
+    return settled(
+        classes.join(_sent(ids), "id", "left_semi").select("id", "chars", F.array(*count).alias("letters")), "letters"
+    )
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """Distinct ids, written, and broadcast only if they are few."""
+    ids = settled(ids.distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
+
+
 def _like(a: Column, b: Column, edits: int) -> Column:
     apart = [F.abs(a[k] - b[k]) for k in range(len(LETTERS))]
     return sum(apart[1:], apart[0]) <= 2 * edits
@@ -123,15 +141,15 @@ def edit_links(classes: DataFrame, edits: int = EDITS) -> DataFrame:
     are joined in blocks over many tasks, comparing letter counts in the
     join, so that what leaves it are lines alike and not all pairs of the segment.
     """
-    index_keys, probe_keys = _keys(F.col("line"), F.col("chars"), edits)
-    index = classes.select("id", F.explode(index_keys).alias("key"))
-    probe = classes.select("id", F.explode(probe_keys).alias("key"))
+    index, probe = _keyed(classes, edits)
     hot = settled(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_BUCKET), "segments")
-    letters = classes.select("id", "letters", "chars")
     pair = (F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
 
     rare = index.join(hot.select("key"), "key", "left_anti")
-    met = rare.alias("a").join(probe.alias("b"), "key").where("a.id <> b.id").select(*pair).distinct()
+    met = settled(rare.alias("a").join(probe.alias("b"), "key").where("a.id <> b.id").select(*pair).distinct(), "met")
+    # a line probes its own index keys too, so these are all lines of crowded segments
+    crowd = settled(probe.join(hot, "key"), "crowd")
+    letters = _counted(classes, met.select(F.explode(F.array("u", "v")).alias("id")).union(crowd.select("id")))
     pairs = (
         met.join(letters.alias("a"), F.col("u") == F.col("a.id"))
         .join(letters.alias("b"), F.col("v") == F.col("b.id"))
@@ -140,7 +158,7 @@ def edit_links(classes: DataFrame, edits: int = EDITS) -> DataFrame:
     )
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     left = index.join(hot, "key").join(letters, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    right = probe.join(hot, "key").join(letters, "id").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    right = crowd.join(letters, "id").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     crowded = (
         left.alias("a").join(right.alias("b"), ["key", "block"])
         # lines of one length probe each other, so one of the two meetings is enough
@@ -148,9 +166,7 @@ def edit_links(classes: DataFrame, edits: int = EDITS) -> DataFrame:
         .select(*pair)
     )
     alike = settled(pairs.union(crowded).distinct(), "alike")
-    ids = alike.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    if alike.count() <= MAX_BROADCAST:
-        ids = F.broadcast(ids)
+    ids = _sent(alike.select(F.explode(F.array("u", "v")).alias("id")))
     texts = classes.join(ids, "id", "left_semi").select("id", "line")
     return (
         alike.join(texts.withColumnsRenamed({"id": "u", "line": "line_u"}), "u")

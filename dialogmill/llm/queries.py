@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 
 from dialogmill.llm import (
     bpe,
+    chat_format,
     langid,
     line_dedup,
     lm_score,
     mixing,
     neighbours,
+    prefix_trie,
     quality,
     simhash,
     token_files,
     toxicity,
+    vector_codes,
 )
+from dialogmill.llm.common import settled
 from dialogmill.session import shared_folder
 
 #: Ids of the vocabulary of word_bpe_49k.json, its special tokens included.
@@ -128,6 +132,123 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts look like the template's own control strings.
+ODD_CONVERSATION, ODD_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = spark.range(2).select(
+        F.lit(ODD_CONVERSATION).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(ODD_TEXT).alias("text"),
+    )
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+    return chat_format.digests(chat_format.format_turns(turns))
+
+
+OP11_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES ({ODD_CONVERSATION}, 0, 'user', '{ODD_TEXT}'), ({ODD_CONVERSATION}, 1, 'assistant', '{ODD_TEXT}')),
+sized AS (
+  SELECT *, len(replace(replace(replace(text, '\\', '\\s'), '###', '\\h'), '</turn>', '\\t')) + 8
+           + CASE WHEN lag(role) OVER seen IS NOT DISTINCT FROM role THEN 0
+                  ELSE 6 + len(replace(replace(replace(replace(role, '\\', '\\s'), '###', '\\h'), '</turn>', '\\t'), ':', '\\c')) END AS chars
+  FROM turns WINDOW seen AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+told AS (
+  SELECT conv_id, count(*) AS n_turns, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss
+  FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, len(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM told
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = settled(prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations")), "ordered")
+    return prefix_trie.build(prefix_trie.shared_starts(ordered))
+
+
+OP12_SQL = """
+WITH turns AS (
+  SELECT conv_id, md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS digest, turn,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+ordered AS (
+  SELECT conv_id, list({'d': digest, 'w': words} ORDER BY turn NULLS FIRST, digest) AS turns FROM turns GROUP BY conv_id),
+-- crc32 of the decimal id: each character is added, and then its 8 bits are shifted out
+hashed AS (
+  SELECT conv_id, turns, xor(list_reduce(list_concat([4294967295], flatten(list_transform(
+           string_split(CAST(conv_id AS VARCHAR), ''), lambda c: list_concat([CAST(ord(c) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+         lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295) % 4 AS h
+  FROM ordered),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+  FROM hashed c LEFT JOIN ordered b ON b.conv_id = c.conv_id - c.conv_id % 20),
+steps AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt),
+named AS (
+  SELECT conv_id, depth, len(turns) = depth AS ends, list_transform(turns[1:depth], lambda t: t.d) AS node,
+         CASE WHEN depth > 0 THEN turns[depth].w ELSE 0 END AS words FROM steps),
+nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids
+  FROM named GROUP BY node, depth),
+above AS (SELECT node, depth, (n_convs - 1) * words AS saved, n_convs, unnest(range(0, depth + 1)) AS up FROM nodes),
+inner_nodes AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+sums AS (
+  SELECT a.node[1:a.up] AS node, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (i.node IS NULL) AS n_leaves
+  FROM above a LEFT JOIN inner_nodes i ON a.node = i.node GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(i.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens,
+       sha256(n.ids) AS ends_sha256
+FROM nodes n JOIN sums s ON n.node = s.node LEFT JOIN inner_nodes i ON n.node = i.node
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.node = n.node[1:n.depth - 1]
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """SQL of one round after the other: distances as |a|^2 - 2ab + |b|^2, exact for numbers this small."""
+    steps = """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS place
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (
+  SELECT place, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS x, list_inner_product(x, x) AS xx
+  FROM kept, (SELECT unnest(range(4)) AS part)),
+book0 AS MATERIALIZED (SELECT part, place AS entry, x AS e, xx AS ee FROM cut WHERE place < 256)"""
+    for r in range(5):
+        steps += f""",
+near{r} AS MATERIALIZED (
+  SELECT place, part, min({{'d': xx - 2 * list_inner_product(x, e) + ee, 'k': entry}}) AS n FROM cut JOIN book{r} USING (part) GROUP BY ALL)"""
+        if r < 4:
+            steps += f""",
+sums{r} AS (
+  SELECT part, entry, list(mean ORDER BY i) AS e FROM (
+    SELECT part, n.k AS entry, i, floor(sum(x[i]) / count(*)) AS mean
+    FROM near{r} JOIN cut USING (place, part), (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM cut))) AS i) WHERE i <= len(x) GROUP BY ALL)
+  GROUP BY part, entry),
+book{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(s.e, b.e) AS e, list_inner_product(coalesce(s.e, b.e), coalesce(s.e, b.e)) AS ee
+  FROM book{r} b LEFT JOIN sums{r} s ON b.part = s.part AND b.entry = s.entry)"""
+    return steps + """,
+coded AS (
+  SELECT place, string_agg(printf('%02x', n.k), '' ORDER BY part) AS code, CAST(sum(n.d) AS BIGINT) AS error FROM near4 GROUP BY place),
+told AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256
+  FROM book4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (place), told
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_files": op2_token_files,
@@ -139,5 +260,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
     "op10_langid": op10_langid,
+    "op11_chat_format": op11_chat_format,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLE = {"op3_mixing": OP3_SQL}
+ORACLE = {"op3_mixing": OP3_SQL, "op11_chat_format": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_codes": OP13_SQL}

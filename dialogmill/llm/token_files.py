@@ -18,10 +18,13 @@ from __future__ import annotations
 import functools
 import json
 import struct
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +36,10 @@ FOOTER = struct.Struct("<IQQQQ8s")
 MAGIC = b"TOKBITS1"
 #: Words kept with their ids in a worker, so that each is tokenized once; emptied when full.
 CACHE_WORDS = 1_500_000
+#: Words of letters encoded as one text.
+JOINED_WORDS = 2000
+#: Characters of texts whose words are looked up at once.
+CHUNK_CHARS = 1 << 21
 
 
 def bits_for(vocabulary: int) -> int:
@@ -56,42 +63,83 @@ def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> tuple[Tokenizer, dict[bytes, bytes]]:
-    return Tokenizer.from_file(path), {}
+def word_tokenizer(path: str) -> tuple[Tokenizer, np.ndarray, dict[str, bytes]]:
+    """The tokenizer, which of its ids end a word, and the ids of words met so far."""
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+    return tokenizer, ends, {}
 
 
-def _cut_end(word: bytes) -> tuple[bytes, bytes]:
-    """Full stops and commas behind a letter or digit, which is never in one token with them."""
-    stem = word.rstrip(b".,")
-    return (stem, word[len(stem) :]) if stem.decode()[-1:].isalnum() else (word, b"")
+def _cut_end(word: str) -> tuple[str, str]:
+    """Full stops and commas behind an ASCII letter or digit, which is never in one token with them.
+
+    Other letters are left alone: some change into several characters when the
+    tokenizer folds case, and the last of those may go with the full stop.
+    """
+    stem = word.rstrip(".,")
+    return (stem, word[len(stem) :]) if stem[-1:].isascii() and stem[-1:].isalnum() else (word, "")
+
+
+def _encode_parts(parts: list[str], tokenizer: Tokenizer, ends: np.ndarray) -> list[bytes]:
+    """Ids of each part. Words of ASCII letters are encoded many at once, as each ends in one id of a word's end."""
+    plain = [p for p in parts if p.isascii() and p.isalpha()]
+    other = [p for p in parts if not (p.isascii() and p.isalpha())]
+    groups = [plain[i : i + JOINED_WORDS] for i in range(0, len(plain), JOINED_WORDS)]
+    coded = tokenizer.encode_batch_fast([" ".join(g) for g in groups] + other, add_special_tokens=False)
+    found = {p: array("I", c.ids).tobytes() for p, c in zip(other, coded[len(groups) :])}
+    for group, code in zip(groups, coded):
+        ids = np.array(code.ids, "<u4")
+        cuts = (np.flatnonzero(ends[ids]) + 1) * 4
+        if len(cuts) == len(group):
+            data, starts = ids.tobytes(), [0, *cuts.tolist()]
+            found.update((p, data[a:b]) for p, a, b in zip(group, starts, starts[1:]))
+        else:  # a vocabulary without all letters
+            alone = tokenizer.encode_batch_fast(group, add_special_tokens=False)
+            found.update((p, array("I", c.ids).tobytes()) for p, c in zip(group, alone))
+    return [found[p] for p in parts]
 
 
 def encode_words(texts: list[str], path: str) -> list[bytes]:
     """Ids of whole texts, as the tokenizer would give them, as uint32 bytes.
 
     For a tokenizer that drops white space and folds case, as the given one does:
-    ids of a text are those of its words one after the other, so a word's ids are
-    looked up where the worker has met it, and so are full stops and commas behind it. Texts with ``<|`` may hold special tokens and are
-    encoded whole.
+    ids of a text are those of its words one after the other. A word's ids are
+    looked up where the worker has met it, and so are full stops and commas behind
+    it. Texts with ``<|`` may hold special tokens and are encoded whole.
     """
-    tokenizer, known = word_tokenizer(path)
+    tokenizer, ends, known = word_tokenizer(path)
     out: list[bytes] = []
-    for text in texts:
-        if "<|" in text:
-            out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            continue
-        words = text.encode().lower().split()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            ends = [(w, *_cut_end(w)) for w in new]
-            parts = [p for p in dict.fromkeys(p for _, a, b in ends for p in (a, b)) if p not in known]
-            coded = tokenizer.encode_batch([p.decode() for p in parts], add_special_tokens=False)
-            known.update((p, np.array(c.ids, "<u4").tobytes()) for p, c in zip(parts, coded))
-            known.update((w, known[a] + known[b]) for w, a, b in ends)
-        out.append(b"".join(map(known.__getitem__, words)))
+    start = 0
+    while start < len(texts):
+        stop, chars = start, 0
+        while stop < len(texts) and chars < CHUNK_CHARS:
+            chars += len(texts[stop])
+            stop += 1
+        some = texts[start:stop]
+        special = ["<|" in text for text in some]
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(["" if s else t for s, t in zip(special, some)], pa.large_string())))
+        words = split.flatten().dictionary_encode()
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        met = words.dictionary.to_pylist()
+        new = [(w, *_cut_end(w)) for w in met if w not in known]
+        parts = [p for p in {p for _, a, b in new for p in (a, b)} if p not in known]
+        known.update(zip(parts, _encode_parts(parts, tokenizer, ends)))
+        known.update((w, known[a] + known[b]) for w, a, b in new if b)
+
+        coded = [known[w] for w in met]
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        begins = np.cumsum(sizes) - sizes
+        place = words.indices.to_numpy()
+        lengths = sizes[place]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        found = ids[np.repeat(begins[place] - upto[:-1], lengths) + np.arange(upto[-1])]
+        cuts = upto[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        for text, whole, a, b in zip(some, special, cuts, cuts[1:]):
+            out.append(array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if whole else found[a:b].tobytes())
+        start = stop
     return out
 
 
@@ -104,17 +152,21 @@ class ShardWriter:
 
     def __init__(self, sink, bits: int):
         self.sink, self.bits = sink, bits
-        self.rest = np.empty(0, "<u4")
+        self.rest, self.waiting = [], 0
         self.offsets, self.starts, self.doc_ids, self.nulls = [0], [0], [], []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.doc_ids.append(0 if doc_id is None else doc_id)
         self.nulls.append(doc_id is None)
         self.starts.append(self.starts[-1] + len(ids))
-        self.rest = np.concatenate([self.rest, ids])
-        while len(self.rest) >= BLOCK_IDS:
-            self._block(self.rest[:BLOCK_IDS])
-            self.rest = self.rest[BLOCK_IDS:]
+        self.rest.append(ids)
+        self.waiting += len(ids)
+        if self.waiting >= BLOCK_IDS:
+            ids = np.concatenate(self.rest)
+            whole = len(ids) - len(ids) % BLOCK_IDS
+            for at in range(0, whole, BLOCK_IDS):
+                self._block(ids[at : at + BLOCK_IDS])
+            self.rest, self.waiting = [ids[whole:]], len(ids) - whole
 
     def _block(self, ids: np.ndarray) -> None:
         data = pack(ids, self.bits)
@@ -122,8 +174,8 @@ class ShardWriter:
         self.offsets.append(self.offsets[-1] + len(data))
 
     def close(self) -> None:
-        if len(self.rest):
-            self._block(self.rest)
+        if self.waiting:
+            self._block(np.concatenate(self.rest))
         for table in (
             np.array(self.offsets, "<u8"),
             np.array(self.doc_ids, "<i8"),

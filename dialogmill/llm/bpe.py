@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: Texts above this many characters are encoded piece by piece.
 PIECE_CHARS = 1 << 16
+# Fixed value: the characters that ``\s`` of the split pattern stands for.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space from this length on never reach the pattern, which fails on those of a million.
+LONG_RUN = re.compile(f"[{WHITE}]{{4096,}}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -43,10 +48,23 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
 
 
 def encode_text(text: str | None, bpe: tiktoken.Encoding) -> np.ndarray:
-    """Ids of a whole text, without special tokens; a null text has none."""
+    r"""Ids of a whole text, without special tokens; a null text has none.
+
+    The pattern splits a run of white space by ``\s+(?!\S)``: at the end of the text it
+    is one match, and before anything else all of it but its last character is one.
+    Long runs are cut by that rule here. No match begins before a run and reaches
+    into it, and what follows is split as if it began there.
+    """
     if not text:
         return np.empty(0, "<u4")
-    return np.concatenate([np.array(bpe.encode_ordinary(piece), "<u4") for piece in safe_pieces(text)])
+    parts, start = [], 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        parts += [bpe.encode_ordinary(piece) for piece in safe_pieces(text[start : run.start()])]
+        parts.append(bpe._encode_single_piece(text[run.start() : end]))
+        start = end
+    parts += [bpe.encode_ordinary(piece) for piece in safe_pieces(text[start:])]
+    return np.concatenate([np.array(ids, "<u4") for ids in parts])
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

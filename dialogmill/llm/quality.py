@@ -132,13 +132,12 @@ def thresholds(values: DataFrame) -> DataFrame:
     packed = wide.select("grain", "lang", "source", "n", F.struct(*[f"{s}_{m}" for m, s, _ in MEASURES]).alias("limits"))
     fine = packed.where("grain = 0").drop("grain").alias("f")
     lang = packed.where("grain = 1").select(F.col("lang").alias("l_lang"), F.col("n").alias("l_n"), F.col("limits").alias("l_limits"))
-    whole = packed.where("grain = 2").select(F.col("limits").alias("w_limits"))
+    whole = packed.where("grain = 2").select("limits").scalar()  # one row, or none
     return (
         fine.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")))
-        .join(F.broadcast(whole))  # one row
         .select(
             "lang", "source",
-            F.when(F.col("n") >= MIN_TEXTS, F.col("limits")).when(F.col("l_n") >= MIN_TEXTS, F.col("l_limits")).otherwise(F.col("w_limits")).alias("limits"),
+            F.when(F.col("n") >= MIN_TEXTS, F.col("limits")).when(F.col("l_n") >= MIN_TEXTS, F.col("l_limits")).otherwise(whole).alias("limits"),
         )
     )
 

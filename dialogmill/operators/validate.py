@@ -7,7 +7,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REPLACEMENT_CHARACTER = "�"
 LINE_TYPES = ("style", "info")
 
 
@@ -20,10 +19,11 @@ def row_reason(
 ) -> Column:
     """Why a row cannot be used, or null when it can; the first reason wins.
 
-    With ``strict_type=False`` a wrong line type passes, and is prompted as info.
+    Bytes that are not UTF-8 are a reason; U+FFFD, which is a character like any
+    other, is not. With ``strict_type=False`` a wrong line type passes, and is prompted as info.
     """
     reason = F.when(text.isNull() | (text == ""), "missing_text").when(
-        F.contains(text, F.lit(REPLACEMENT_CHARACTER)), "bad_encoding"
+        ~F.is_valid_utf8(text), "bad_encoding"
     )
     if kind is not None and strict_type:
         reason = reason.when(kind.isNull() | ~kind.isin(*LINE_TYPES), "bad_type")

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
-from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +11,8 @@ from pyspark.sql import types as T
 from dialogmill.functions.text import DEFAULT_MARKER, clean_document
 from dialogmill.operators.prompts import knowledge_messages, style_messages
 from dialogmill.operators.validate import row_reason, split_quarantine
-from dialogmill.sources.style_csv import CSV_OPTIONS, STYLE_COLUMNS, read_style_csv
+from dialogmill.sources.csv_files import CSV_OPTIONS, STYLE_COLUMNS, read_style_records
+from dialogmill.sources.listing import READ, empty_files, list_files
 
 
 def split_paths(paths: Sequence[str]) -> tuple[list[str], list[str], list[str]]:
@@ -51,15 +49,16 @@ def read_style_csv_unsplit(
 
 
 def read_text_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``(source_path, content)``: one row per file, newlines normalised, stripped.
+    """``(source_path, content, valid)``: one row per file, newlines normalised, stripped.
 
-    A byte order mark stays. Bytes that are not UTF-8 become U+FFFD, which
-    ``row_reason`` finds.
+    A byte order mark stays, and so does a written U+FFFD. Bytes that are not UTF-8
+    make a file not ``valid``; its content then has U+FFFD in their place.
     """
-    return spark.read.text(list(paths), wholetext=True).select(
-        F.col("_metadata.file_path").alias("source_path"),
-        clean_document(F.col("value")).alias("content"),
-    )
+    raw = F.col("content").cast("string")
+    return (
+        spark.read.format("binaryFile").options(**READ).load(list(dict.fromkeys(paths)))
+        .select(F.col("_metadata.file_path").alias("source_path"), clean_document(raw).alias("content"), F.is_valid_utf8(raw).alias("valid"))
+    )
 
 
 def texts_from_rows(spark: SparkSession, rows: Sequence[Mapping[str, str]]) -> DataFrame:
@@ -67,56 +66,6 @@ def texts_from_rows(spark: SparkSession, rows: Sequence[Mapping[str, str]]) -> D
     return spark.createDataFrame([(r["text"],) for r in rows], "text string")
 
 
-def path_pattern(path: str) -> str:
-    """A regular expression of the files that a listed path stands for: itself, a glob, or a folder's files.
-
-    A path without a scheme may be on any default file system, a relative one below any folder.
-    """
-    scheme = re.match(r"^([A-Za-z][A-Za-z0-9+.-]*):(//[^/]*)?", path)
-    rest = path[scheme.end() :] if scheme else path
-    glob = {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|" if "{" in rest else ","}
-    body = re.sub(r"[*?{},]|[^*?{},\[\]]+", lambda m: glob.get(m[0]) or re.escape(m[0]), re.sub("^/+", "/", rest).rstrip("/"))
-    if scheme and scheme[1] != "file":
-        front = re.escape(scheme[0])
-    else:
-        front = r"(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?" + ("" if rest.startswith("/") else "(?:.*/)?")
-    return f"^{front}{body}(?:/.*)?$"
-
-
-def _empty_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """The files of zero bytes that listed paths stand for, by the file systems' listings."""
-    found = set()
-    for listed in dict.fromkeys(paths):
-        path = spark._jvm.org.apache.hadoop.fs.Path(listed)
-        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        for top in system.globStatus(path) or []:
-            for status in system.listStatus(top.getPath()) if top.isDirectory() else [top]:
-                # names with these first letters are no data for Spark
-                if status.isFile() and status.getLen() == 0 and status.getPath().getName()[0] not in "_.":
-                    found.add(status.getPath().toUri().toString())
-    return sorted(found)
-
-
-def _number_sources(rows: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """Add ``source_no``, the place of a row's file in ``paths``: one rule for any number of them.
-
-    A file that is listed twice, or by itself and by its folder, counts for each. A
-    row whose file matches no path stays, with a null place.
-    """
-    listed = [path_pattern(p) for p in paths]
-
-    @F.pandas_udf("array<int>")
-    def places(found: pd.Series) -> pd.Series:
-        patterns = [re.compile(p) for p in listed]
-        # one look for each file of a batch
-        known = {
-            name: [i for i, p in enumerate(patterns) if p.match(unquote(name))] for name in found.unique()
-        }
-        return found.map(known)
-
-    return rows.withColumn("source_no", F.explode_outer(places("source_path")))
-
-
 _MESSAGES = "array<struct<role:string,content:string>>"
 CONVERSATION_SCHEMA = f"source_no int, source_path string, row_id bigint, messages {_MESSAGES}"
 REJECT_SCHEMA = "source_no int, source_path string, row_id bigint, text string, reason string"
@@ -134,42 +83,42 @@ def read_conversations(
 
     ``(source_no, source_path, row_id)`` names a row and is the order of the paths
     given, of the files in a folder or glob, and of the rows in each file, however the
-    work is split. Rows without text, with broken bytes, or of a file that no path
-    stands for are rejected with a reason. A path given twice counts twice. No
-    readable path gives empty tables of the same schema.
+    work is split. Rows without text, with broken bytes, or of a record that cannot be
+    read are rejected with a reason, so each record is in one of the two tables. A
+    path given twice counts twice. No readable path gives empty tables of the same schema.
 
     Spark's file sources pass over files of zero bytes. They are found in the listing
     and added as empty knowledge texts, unless ``keep_empty_files`` is false.
     """
     txt, csv, skipped = split_paths(paths)
     good, bad = [], []
+
+    def numbered(rows: DataFrame, suffix: str) -> DataFrame:
+        return rows.join(list_files(spark, paths, suffix), "source_path", "left")
+
     if txt:
-        files = _number_sources(read_text_files(spark, list(dict.fromkeys(txt))), paths).withColumn(
-            "row_id", F.lit(0).cast("long")
-        )
+        files = numbered(read_text_files(spark, txt), ".txt")
         if keep_empty_files:
-            named = spark.createDataFrame([(p, "") for p in _empty_files(spark, txt)], "source_path string, content string")
-            empty = _number_sources(named, paths).withColumn("row_id", F.lit(0).cast("long"))
-            files = files.unionByName(empty)
+            empty = empty_files(spark, paths, ".txt")
+            files = files.unionByName(empty.select("source_path", F.lit("").alias("content"), F.lit(True).alias("valid"), "source_no"))
+        files = files.withColumn("row_id", F.lit(0).cast("long"))
         # a blank file is a valid, if useless, knowledge text
-        broken = F.when(F.col("source_no").isNull(), "unlisted_file").when(F.col("content") != "", row_reason(F.col("content")))
+        broken = F.when(F.col("source_no").isNull(), "unlisted_file").when(~F.col("valid"), "bad_encoding")
         ok, rejected = split_quarantine(files, broken)
         good.append(ok.withColumn("messages", knowledge_messages(F.col("content"))))
         bad.append(rejected.withColumnRenamed("content", "text"))
     if csv:
-        lines = _number_sources(
-            read_style_csv(spark, list(dict.fromkeys(csv))).withColumnRenamed("row_no", "row_id"), paths
-        )
-        ok, rejected = split_quarantine(
-            lines, F.when(F.col("source_no").isNull(), "unlisted_file").otherwise(row_reason(F.col("text")))
-        )
+        lines = numbered(read_style_records(spark, csv).withColumnRenamed("reason", "unread"), ".csv")
+        why = F.when(F.col("source_no").isNull(), "unlisted_file").otherwise(F.coalesce("unread", row_reason(F.col("text"))))
+        ok, rejected = split_quarantine(lines, why)
         good.append(
             ok.withColumn(
                 "messages",
                 style_messages(F.col("text"), F.col("type"), system_prompt, marker, normalize_type),
             )
         )
-        bad.append(rejected)
+        # a record that was not read is kept as it stands in its file
+        bad.append(rejected.withColumn("text", F.when(F.col("unread").isNull(), F.col("text")).otherwise(F.col("record"))))
 
     def union(tables: list[DataFrame], schema: str) -> DataFrame:
         out = spark.createDataFrame([], schema)

@@ -10,23 +10,24 @@ def test_row_reason_and_quarantine(spark):
             (0, "ok", "style", "headers"),
             (1, None, "style", "headers"),
             (2, "", "info", "headers"),
-            (3, "caf�", "info", "headers"),
+            (3, "bytes", "info", "headers"),
             (4, "ok", "style ", "headers"),
             (5, "ok", None, "headers"),
             (6, "ok", "info", "nowhere"),
             (7, "ok", "info", None),
+            (8, "a written \ufffd", "info", "headers"),
         ],
         "id int, text string, type string, template string",
-    )
+    ).withColumn("text", F.when(F.col("id") == 3, F.unhex(F.lit("636166E9")).cast("string")).otherwise(F.col("text")))
     c = F.col
     good, bad = split_quarantine(rows, row_reason(c("text"), c("type"), c("template"), ["headers"]))
-    assert [r.id for r in good.collect()] == [0]
-    assert {r.id: r.reason for r in bad.collect()} == {
+    assert sorted(r.id for r in good.collect()) == [0, 8]
+    assert {r.id: r.reason for r in bad.select("id", "reason").collect()} == {
         1: "missing_text", 2: "missing_text", 3: "bad_encoding", 4: "bad_type",
         5: "bad_type", 6: "no_template", 7: "no_template",
     }
     relaxed, _ = split_quarantine(rows, row_reason(c("text"), c("type"), strict_type=False))
-    assert sorted(r.id for r in relaxed.collect()) == [0, 4, 5, 6, 7]
+    assert sorted(r.id for r in relaxed.select("id").collect()) == [0, 4, 5, 6, 7, 8]
 
 
 def test_missing_fields_and_default_pad(spark):

@@ -39,12 +39,13 @@ from dialogmill.operators.tokens import (
     fixed_length,
 )
 from dialogmill.operators.validate import count_errors, missing_fields, row_reason
-from dialogmill.operators.vocab import WORD_PATTERN, SpecialTokens, learn_vocab, vocab_size
+from dialogmill.operators.vocab import WORD_PATTERN, SpecialTokens, learn_vocab
 from dialogmill.plans import training
-from dialogmill.plans.tables import STEPS_PER_RUN, logged_steps, spread_small, step_log, style_lines, table
+from dialogmill.plans.tables import STEPS_PER_RUN, logged_steps, spread_small, step_log, style_lines, table, table_stream
 from dialogmill.session import shared_folder
 from dialogmill.sources import files, sinks
-from dialogmill.sources.style_csv import read_style_csv
+from dialogmill.sources.csv_files import read_style_csv, read_style_records
+from dialogmill.sources.listing import list_files
 from dialogmill.streaming.runstate import latest_state, stream_run_state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,7 +233,6 @@ def style_messages_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT conv_id, turn, CASE WHEN length(text) < 40 THEN 'missing_text'
-       WHEN contains(text, chr(65533)) THEN 'bad_encoding'
        WHEN role = 'system' THEN 'bad_type' WHEN conv_id % 3 = 2 THEN 'no_template' END AS reason
 FROM conversations
 """)
@@ -358,7 +358,9 @@ def vocab_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {VOCAB_CTE} SELECT count(*) + {SPECIAL.reserved} AS vocab_size FROM vocab")
 def vocab_size_query(spark: SparkSession, sf: str) -> DataFrame:
-    return vocab_size(_vocab(spark, sf))
+    folder = shared_folder(spark, "vocab")
+    sinks.write_with_size(_vocab(spark, sf), f"{folder}/vocab", f"{folder}/size", "vocab_size", SPECIAL.reserved)
+    return spark.read.parquet(f"{folder}/size")
 
 
 _TOKENIZED_SQL = f"WITH {ENCODED_CTE} SELECT row_key, n_tokens, {_list_md5('ids')} AS ids_md5 FROM encoded"
@@ -552,11 +554,7 @@ def run_state_query(spark: SparkSession, sf: str) -> DataFrame:
 @query(STATE_SQL)
 def stream_run_state_query(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark, "run-state")
-    events = (
-        spark.readStream.schema(table(spark, sf, "events").schema)
-        .option("maxFilesPerTrigger", 1000)
-        .parquet(f"{sf.rstrip('/')}/events.parquet")
-    )
+    events = table_stream(spark, sf, "events")
     stream_run_state(logged_steps(events), STEPS_PER_RUN, folder)
     return latest_state(spark.read.parquet(f"{folder}/state"))
 
@@ -582,19 +580,81 @@ def src_style_csv_unsplit_query(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_style_csv_unsplit(spark, [_csv_folder(spark, sf)]).select("speaker", "text", "type")
 
 
+def _knowledge_folder(spark: SparkSession, sf: str, text: Column | None = None) -> str:
+    """The benchmark's texts as files, one below a folder ``item_id=N`` each."""
+    folder = f"{shared_folder(spark, 'knowledge')}.txt"
+    rows = table(spark, sf, "benchmark").select("item_id", (F.col("text") if text is None else text).alias("value"))
+    rows.repartition("item_id").write.partitionBy("item_id").option("lineSep", "\n").text(folder)
+    return folder
+
+
+def _item_id() -> Column:
+    return F.regexp_extract("source_path", "item_id=(-?[0-9]+)", 1).try_cast("long")
+
+
 @query(f"""
-SELECT {KB_TEXT} AS text FROM benchmark UNION ALL SELECT {LINE_TEXT} AS text FROM conversations
+SELECT 0 AS source_no, item_id, {KB_TEXT} AS text FROM benchmark
+UNION ALL SELECT 1 AS source_no, NULL AS item_id, {LINE_TEXT} AS text FROM conversations
 """)
 def src_mixed_query(spark: SparkSession, sf: str) -> DataFrame:
-    texts = f"{shared_folder(spark, 'knowledge')}.txt"
-    # one folder, and so one knowledge text, per item
-    table(spark, sf, "benchmark").select("item_id", "text").repartition("item_id").write.partitionBy(
-        "item_id"
-    ).option("lineSep", "\n").text(texts)
     conversations, _, _ = files.read_conversations(
-        spark, [texts, _csv_folder(spark, sf), "notes.md"], SYSTEM_PROMPT
+        spark, [_knowledge_folder(spark, sf), _csv_folder(spark, sf), "notes.md"], SYSTEM_PROMPT
     )
-    return conversations.select(render(F.col("messages"), USER_ASSISTANT).alias("text"))
+    return conversations.select("source_no", _item_id().alias("item_id"), render(F.col("messages"), USER_ASSISTANT).alias("text"))
+
+
+@query("""
+SELECT 0 AS source_no, item_id FROM benchmark WHERE item_id % 10 = 3 UNION ALL
+SELECT 1, item_id FROM benchmark UNION ALL
+SELECT 2, item_id FROM benchmark WHERE CAST(item_id AS VARCHAR) LIKE '_'
+""")
+def src_paths_query(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _knowledge_folder(spark, sf)
+    return list_files(spark, [f"{folder}/item_id=*3", folder, f"{folder}/item_id=?/part-*"]).select("source_no", _item_id().alias("item_id"))
+
+
+BROKEN = {0: "FF", 2: "61C3"}  # a byte that no text has, and a character cut short
+
+
+@query(f"""
+SELECT item_id, CASE WHEN item_id % 4 IN (0, 2) THEN 'bad_encoding' END AS reason,
+       CASE WHEN item_id % 4 IN (1, 3) THEN md5({CLEAN_DOC}) END AS text_md5
+FROM (SELECT item_id, CASE WHEN item_id % 4 = 1 THEN text || chr(65533) ELSE text END AS text FROM benchmark)
+""")
+def src_bytes_query(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.col("item_id") % 4
+    tail = F.when(kind == 0, F.unhex(F.lit(BROKEN[0]))).when(kind == 2, F.unhex(F.lit(BROKEN[2]))).when(kind == 1, F.encode(F.lit("\ufffd"), "UTF-8")).otherwise(F.unhex(F.lit("")))
+    folder = _knowledge_folder(spark, sf, F.concat(F.encode("text", "UTF-8"), tail).cast("string"))
+    texts = files.read_text_files(spark, [folder])
+    reason = F.when(~F.col("valid"), "bad_encoding")
+    return texts.select(_item_id().alias("item_id"), reason.alias("reason"), F.when(F.col("valid"), F.md5("content")).alias("text_md5"))
+
+
+@query("""
+WITH t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id // 100 ORDER BY conv_id DESC, turn DESC) = 1 AS last_one FROM conversations),
+r AS (
+  SELECT *, CASE WHEN last_one THEN 'unclosed_quote' WHEN conv_id % 10 = 3 THEN 'too_many_fields' WHEN conv_id % 10 = 5 THEN 'bad_encoding' END AS reason FROM t)
+SELECT conv_id || ':' || turn AS speaker, reason, CASE WHEN reason IS NULL THEN md5(text) END AS text_md5, CASE WHEN reason IS NULL THEN role END AS type
+FROM r
+""")
+def src_csv_rejects_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of twenty columns, each hundred conversations a file, with faults in some records and an open quote at each end."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", F.expr("conv_id div 100").alias("file"))
+    fault = F.col("conv_id") % 10
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')))
+    tail = F.when(fault == 5, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))).cast("string")
+    start = F.concat(F.col("conv_id"), F.lit(":"), F.col("turn"), F.lit("," * 18), quoted)
+    end = F.concat(tail, F.lit('",'), F.col("role"), F.when(fault == 3, ",more").otherwise(""))
+    record = F.struct("conv_id", "turn", start.alias("start"), end.alias("end"))
+    # (conv_id, turn) is a key, so a file's records are those of a hundred conversations
+    gathered = turns.groupBy("file").agg(F.array_sort(F.collect_list(record)).alias("r"))
+    header = ",".join(["speaker", *(f"c{i}" for i in range(17)), "text", "type"])
+    lines = F.transform("r", lambda x, i: F.concat(x["start"], F.when(i < F.size("r") - 1, x["end"]).otherwise("")))
+    folder = f"{shared_folder(spark, 'faulty')}.csv"
+    gathered.select("file", F.concat(F.lit(header + "\n"), F.array_join(lines, "\n")).alias("value")).repartition("file").write.partitionBy("file").option("lineSep", "\n").text(folder)
+    good = F.col("reason").isNull()
+    return read_style_records(spark, [folder]).select("speaker", "reason", F.when(good, F.md5("text")).alias("text_md5"), F.when(good, F.col("type")).alias("type"))
 
 
 @query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents")
@@ -618,10 +678,26 @@ def token_shards_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"SELECT row_key, md5(text) AS text_md5 FROM ({TRAIN_SQL})")
+SHARD_TEST_BYTES = 1 << 18
+
+
+@query(f"SELECT row_key, md5(text) AS text_md5, true AS in_bound FROM ({TRAIN_SQL})")
 def text_shards_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts in shards of few bytes; ``in_bound``: the shard is no larger, or is one row."""
     folder = shared_folder(spark, "texts")
-    sinks.write_text(_texts(spark, sf), folder)
-    return spark.read.schema("row_key string, text string").json(folder).select(
-        "row_key", F.md5("text").alias("text_md5")
-    )
+    sinks.write_shards(_texts(spark, sf), folder, max_bytes=SHARD_TEST_BYTES)
+    rows = spark.read.schema("row_key string, text string, shard string").json(folder).withColumn("_size", F.col("_metadata.file_size"))
+    shards = rows.groupBy("shard").agg(F.countDistinct("_metadata.file_path").alias("files"), F.max("_size").alias("size"), F.count(F.lit(1)).alias("n"))
+    bound = (F.col("files") == 1) & ((F.col("size") <= SHARD_TEST_BYTES) | (F.col("n") == 1))
+    return rows.join(shards.select("shard", bound.alias("in_bound")), "shard").select("row_key", F.md5("text").alias("text_md5"), "in_bound")
+
+
+@query(f"""
+SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS place, md5({LINE_TEXT}) AS text_md5 FROM conversations
+""")
+def ordered_shards_query(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").withColumn("type", F.when(F.col("role") == "assistant", "style").otherwise("info"))
+    texts = training.style_text(turns.drop("role"), SYSTEM_PROMPT)
+    folder = shared_folder(spark, "ordered")
+    sinks.write_shards(texts, folder, ("conv_id", "turn"), SHARD_TEST_BYTES)
+    return sinks.read_shards(spark, folder, "conv_id long, turn long, text string").select("conv_id", "turn", "place", F.md5("text").alias("text_md5"))

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from dialogmill.operators.templates import TEMPLATES, USER_ASSISTANT, TemplateSpec, render
 from dialogmill.operators.tokens import MAX_LENGTH
-from dialogmill.operators.vocab import SpecialTokens, learn_vocab, vocab_size
+from dialogmill.operators.vocab import SpecialTokens, learn_vocab
 from dialogmill.plans.training import tokenized_rows
 from dialogmill.sources import files, sinks
 
+#: What orders rows as the input lists them.
+INPUT_ORDER = ("source_no", "source_path", "row_id")
+
 
 def prepare(
     spark: SparkSession,
@@ -28,27 +31,30 @@ def prepare(
     vocab_entries: int | None = None,
     special: SpecialTokens = SpecialTokens(),
     length: int = MAX_LENGTH,
+    shard_bytes: int = sinks.SHARD_BYTES,
 ) -> list[str]:
     """Write ``text``, ``rejected``, ``vocab``, ``tokens`` and ``metrics`` below
     ``out``; return the skipped paths.
 
-    The rendered text is written first and read again for the later steps, so
-    that source files are parsed once. Without a given ``vocab`` one is learned
+    The rendered text is written first, in the order of the input and in shards of at
+    most ``shard_bytes``, and read again for the later steps, so that source files
+    are parsed once. Without a given ``vocab`` one is learned
     from the text.
     """
     conversations, rejected, skipped = files.read_conversations(spark, paths, system_prompt)
-    conversations.select(
+    rendered = conversations.select(
         # a folder has many files with one place, so the file is part of the key
         F.concat(F.col("source_no"), F.lit(":"), F.md5("source_path"), F.lit(":"), F.col("row_id")).alias("row_key"),
         render(F.col("messages"), spec).alias("text"),
-    ).write.parquet(f"{out}/text")
+        *INPUT_ORDER,
+    )
+    sinks.write_shards(rendered, f"{out}/text", INPUT_ORDER, shard_bytes, "parquet")
     rejected.write.parquet(f"{out}/rejected")
-    texts = spark.read.parquet(f"{out}/text")
+    texts = spark.read.parquet(f"{out}/text").select("row_key", "text")
 
     learned = learn_vocab(texts, "text", vocab_entries, special) if vocab is None else vocab
-    learned.write.parquet(f"{out}/vocab")
+    sinks.write_with_size(learned, f"{out}/vocab", f"{out}/metrics", "vocab_size", special.reserved)
     known = spark.read.parquet(f"{out}/vocab")
-    sinks.write_metrics(vocab_size(known, special), f"{out}/metrics")
     sinks.write_tokens(tokenized_rows(texts, known, special, length), f"{out}/tokens", length)
     return skipped
 

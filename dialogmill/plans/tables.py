@@ -12,6 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of them.
+
+    The name is written as a glob, for which Spark takes both.
+    """
+    return (
+        spark.readStream.schema(table(spark, sf_dir, name).schema)
+        .option("maxFilesPerTrigger", files_per_trigger)
+        .parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
+    )
+
+
 def spread_small(rows: DataFrame, key: str) -> DataFrame:
     """Spread a small table over the cores before heavy per-row work.
 

@@ -19,12 +19,14 @@ def stream_run_state(
     run is four values, and rows are combined before they reach it.
     """
 
+    state = run_state(log, total, threshold)
+    # no batch at all is an empty state
+    log.sparkSession.createDataFrame([], state.schema).write.parquet(f"{folder}/state/batch_id=-1")
+
     def save(changed: DataFrame, batch_id: int) -> None:
         changed.write.mode("overwrite").parquet(f"{folder}/state/batch_id={batch_id}")
 
-    query = start_with_callback(
-        run_state(log, total, threshold), save, f"{folder}/checkpoint", name
-    )
+    query = start_with_callback(state, save, f"{folder}/checkpoint", name)
     query.awaitTermination()
 
 

@@ -124,16 +124,23 @@ def collate(
     special: SpecialTokens = SpecialTokens(),
     length: int = MAX_LENGTH,
     mask_by: str = "id",
+    laid_out: bool = False,
 ) -> DataFrame:
     """One record per micro-batch, ``(step, micro_batch, rows)``, from rows with
     ``uses`` and ``ids``.
 
+    With ``laid_out`` a row has one use, whose ``step`` and ``micro_batch`` are columns
+    too, by which storage may have put the rows together already.
+
     Only the unpadded ids are shuffled; padding, mask and labels follow from
     them afterwards. A group has as many rows as a micro-batch has slots.
     """
+    if laid_out:
+        placed = used.select("step", "micro_batch", "ids", F.col("uses")[0].alias("_use"))
+    else:
+        placed = used.select("ids", F.explode("uses").alias("_use")).select("_use.step", "_use.micro_batch", "ids", "_use")
     gathered = (
-        used.select("ids", F.explode("uses").alias("_use"))
-        .groupBy(F.col("_use.step").alias("step"), F.col("_use.micro_batch").alias("micro_batch"))
+        placed.groupBy("step", "micro_batch")
         .agg(
             F.array_sort(
                 F.collect_list(

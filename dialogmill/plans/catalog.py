@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from dialogmill.functions.text import (
 from dialogmill.operators import runlog
 from dialogmill.operators.batches import batch_plan
 from dialogmill.operators.conversations import TURNS_PER_PART, messages_from_turns, render_turns
-from dialogmill.operators.mapping import map_batches
+from dialogmill.operators.mapping import add_columns, map_batches
 from dialogmill.operators.prompts import (
     INFO_PROMPT,
     KNOWLEDGE_PREFIX,
@@ -46,6 +47,8 @@ from dialogmill.session import shared_folder
 from dialogmill.sources import files, sinks
 from dialogmill.sources.csv_files import read_style_csv, read_style_records
 from dialogmill.sources.listing import list_files
+from dialogmill.streaming.callbacks import EventLog
+from dialogmill.streaming.ordered import latest_attempts, stream_attempts, stream_loss_asof
 from dialogmill.streaming.runstate import latest_state, stream_run_state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,6 +412,26 @@ def labels_query(spark: SparkSession, sf: str) -> DataFrame:
     ).select("row_key", _md5("labels").alias("copied_md5"), "masked_md5")
 
 
+@query(f"""
+WITH {VOCAB_CTE},
+turns AS (SELECT *, {_FIRST} AS is_first FROM conversations),
+whole AS (SELECT conv_id, string_agg({_UA_PIECE}, '' ORDER BY turn) AS text FROM turns GROUP BY conv_id),
+pieces AS (
+  SELECT conv_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos
+  FROM (SELECT conv_id, regexp_extract_all(text, {PAT}) AS w FROM whole)),
+encoded AS (
+  SELECT conv_id, CAST(count(*) AS INTEGER) AS n_tokens, list(coalesce(token_id, {SPECIAL.unk}) ORDER BY pos) AS ids
+  FROM pieces LEFT JOIN vocab USING (token) GROUP BY conv_id)
+SELECT conv_id, n_tokens, n_tokens > {MAX_LENGTH} AS truncated,
+       md5(array_to_string(list_resize(ids[1:{MAX_LENGTH}], {MAX_LENGTH}, {SPECIAL.pad_id}), ' ')) AS input_md5
+FROM encoded
+""")
+def conv_tokens_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations encoded in parts of two turns; the SQL knows of no parts."""
+    rows = training.conversation_rows(table(spark, sf, "conversations"), _vocab(spark, sf), turns_per_part=2)
+    return rows.select("conv_id", "n_tokens", "truncated", _md5("input_ids").alias("input_md5"))
+
+
 # --- batches -----------------------------------------------------------------
 
 
@@ -417,21 +440,16 @@ def batch_plan_query(spark: SparkSession, sf: str) -> DataFrame:
     return batch_plan(_texts(spark, sf), "row_key", SEED)
 
 
-@query(f"""
+_COLLATED_SQL = f"""
 WITH {FIXED_CTE}, {PLAN_CTE},
 digests AS (SELECT row_key, {_list_md5('input_ids')} AS i, {_list_md5('labels')} AS l FROM labelled)
 SELECT step, micro_batch, CAST(count(*) AS INTEGER) AS n_rows,
        string_agg(i, ' ' ORDER BY slot) AS inputs, string_agg(l, ' ' ORDER BY slot) AS labels
 FROM plan JOIN digests USING (row_key) GROUP BY step, micro_batch
-""")
-def collated_query(spark: SparkSession, sf: str) -> DataFrame:
-    batches = training.collated_batches(
-        table(spark, sf, "documents"),
-        style_lines(table(spark, sf, "conversations")),
-        SYSTEM_PROMPT,
-        _vocab(spark, sf),
-        SEED,
-    )
+"""
+
+
+def _batch_digests(batches: DataFrame) -> DataFrame:
     return batches.select(
         "step",
         "micro_batch",
@@ -441,6 +459,20 @@ def collated_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _batch_inputs(spark: SparkSession, sf: str) -> tuple:
+    return table(spark, sf, "documents"), style_lines(table(spark, sf, "conversations")), SYSTEM_PROMPT, _vocab(spark, sf)
+
+
+@query(_COLLATED_SQL)
+def collated_query(spark: SparkSession, sf: str) -> DataFrame:
+    return _batch_digests(training.collated_batches(*_batch_inputs(spark, sf), SEED))
+
+
+@query(_COLLATED_SQL)
+def collated_from_steps_query(spark: SparkSession, sf: str) -> DataFrame:
+    return _batch_digests(training.collated_from_steps(*_batch_inputs(spark, sf), shared_folder(spark, "steps"), SEED))
+
+
 # --- run logs ----------------------------------------------------------------
 
 
@@ -559,6 +591,78 @@ def stream_run_state_query(spark: SparkSession, sf: str) -> DataFrame:
     return latest_state(spark.read.parquet(f"{folder}/state"))
 
 
+ATTEMPT_STEPS, ATTEMPT_RUNS = 200, 7
+
+
+def _attempts(events: DataFrame) -> DataFrame:
+    """Events as attempts of a few runs, whose ids come again and again."""
+    return events.select(
+        F.expr(f"event_id div {ATTEMPT_STEPS} % {ATTEMPT_RUNS}").alias("run"),
+        F.col("event_id").alias("seq"),
+        (F.col("event_id") % ATTEMPT_STEPS + 1).alias("step"),
+        F.when(F.col("event_id") % 10 == 9, F.col("value")).alias("loss"),
+    )
+
+
+_ATTEMPTS_SQL = f"""
+WITH e AS (
+  SELECT event_id // {ATTEMPT_STEPS} % {ATTEMPT_RUNS} AS run, event_id AS seq, event_id % {ATTEMPT_STEPS} + 1 AS step,
+         CASE WHEN event_id % 10 = 9 THEN value END AS loss FROM events),
+b AS (SELECT run, max(seq) FILTER (step = 1) AS begins, count(*) FILTER (step = 1) AS attempt FROM e GROUP BY run)
+SELECT e.run, any_value(attempt) AS attempt, max(step) AS current_step, max_by(loss, CASE WHEN loss IS NOT NULL THEN step END) AS last_loss,
+       min(CASE WHEN loss <= 5.0 THEN step END) AS stop_logged_step,
+       0.3::DOUBLE + least(max(step)::DOUBLE / {float(ATTEMPT_STEPS)}::DOUBLE, 1.0::DOUBLE) * 0.4::DOUBLE AS progress
+FROM e JOIN b ON e.run = b.run WHERE begins IS NULL OR seq >= begins GROUP BY e.run
+"""
+
+
+@query(_ATTEMPTS_SQL)
+def run_attempts_query(spark: SparkSession, sf: str) -> DataFrame:
+    return latest_attempts(_attempts(table(spark, sf, "events")), ATTEMPT_STEPS, 5.0)
+
+
+@query(_ATTEMPTS_SQL)
+def stream_attempts_query(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_folder(spark, "attempts")
+    stream_attempts(_attempts(table_stream(spark, sf, "events")), ATTEMPT_STEPS, folder, 5.0)
+    return latest_state(spark.read.parquet(f"{folder}/attempts")).drop("n_late")
+
+
+@query(f"""
+WITH {SEEN_CTE}
+SELECT run, step, loss, loss_seen, coalesce(step = min(step) FILTER (loss_seen <= 5.0) OVER (PARTITION BY run), false) AS stops FROM seen
+""")
+def stream_loss_asof_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as files in no order, and a row of the far future behind them that lets all of it go."""
+    folder = shared_folder(spark, "asof")
+    rows = logged_steps(table(spark, sf, "events").withColumn("event_id", F.col("event_id").cast("long"))).withColumn(
+        "ts", F.timestamp_seconds(F.col("run") * STEPS_PER_RUN + F.col("step"))
+    )
+    rows.repartition(3, "step").write.parquet(f"{folder}/in")
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("run"), F.lit(0).cast("long").alias("step"), F.lit(None).cast("double").alias("loss"), F.lit("2200-01-01").cast("timestamp").alias("ts"))
+    end.write.mode("append").parquet(f"{folder}/in")
+    log = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    stream_loss_asof(log, folder, "50000 days", 5.0)
+    return spark.read.parquet(f"{folder}/asof").drop("batch_id").where("run >= 0")
+
+
+@query("""
+SELECT 'begin' AS kind, 1::BIGINT AS n, CAST(NULL AS BIGINT) AS n_rows, true AS fine UNION ALL
+SELECT 'step', 1, count(*), true FROM events HAVING count(*) > 0 UNION ALL SELECT 'end', 1, NULL, true
+""")
+def stream_events_query(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_folder(spark, "events")
+    name = f"events_{folder.rsplit('-', 1)[1]}"
+    log = EventLog({name})
+    spark.streams.addListener(log)
+    try:
+        stream_run_state(logged_steps(table_stream(spark, sf, "events")), STEPS_PER_RUN, folder, name=name)
+        log.write(spark, f"{folder}/log")
+    finally:
+        spark.streams.removeListener(log)
+    return spark.read.parquet(f"{folder}/log").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("n_rows").alias("n_rows"), F.every(F.col("error").isNull()).alias("fine"))
+
+
 # --- files and user functions ------------------------------------------------
 
 _LINE_TYPE = "CASE WHEN role = 'assistant' THEN 'style' ELSE 'info' END"
@@ -657,14 +761,29 @@ def src_csv_rejects_query(spark: SparkSession, sf: str) -> DataFrame:
     return read_style_records(spark, [folder]).select("speaker", "reason", F.when(good, F.md5("text")).alias("text_md5"), F.when(good, F.col("type")).alias("type"))
 
 
-@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents")
+@query("SELECT doc_id, lang, CAST(length(nfc_normalize(text)) AS BIGINT) AS n_chars, md5(nfc_normalize(text)) AS nfc_md5 FROM documents")
 def map_batches_query(spark: SparkSession, sf: str) -> DataFrame:
-    return map_batches(
+    """Composed characters, which Spark has no function for; only the text goes to Python and is taken away behind it."""
+
+    def compose(batch: pd.DataFrame) -> pd.DataFrame:
+        composed = batch["text"].str.normalize("NFC")
+        return pd.DataFrame({"n_chars": composed.str.len(), "nfc": composed})
+
+    documents = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    made = add_columns(documents, compose, "n_chars long, nfc string", ["text"], ["text"])
+    return made.select("doc_id", "lang", "n_chars", F.md5("nfc").alias("nfc_md5"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def map_groups_query(spark: SparkSession, sf: str) -> DataFrame:
+    """A function that returns fewer rows than it gets: counts of each batch, added up behind it."""
+    counted = map_batches(
         table(spark, sf, "documents"),
-        lambda pdf: pdf.assign(n_chars=pdf["text"].str.len())[["doc_id", "n_chars"]],
-        "doc_id bigint, n_chars bigint",
-        ["doc_id", "text"],
+        lambda pdf: pdf.groupby("lang", dropna=False).size().rename("n").reset_index(),
+        "lang string, n bigint",
+        ["lang"],
     )
+    return counted.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {FIXED_CTE} SELECT row_key, {_list_md5('input_ids')} AS input_md5, "

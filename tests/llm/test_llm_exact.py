@@ -65,10 +65,12 @@ def make_lines(rng, stems, each):
     return lines
 
 
-@pytest.mark.parametrize("stems,each", [(12, 6), (1, 90)])  # the second fills segments over MAX_BUCKET
-def test_line_dedup_against_all_pairs(spark, stems, each):
+# the second and third fill segments over MAX_BUCKET, the last one with blocks of few lines
+@pytest.mark.parametrize("stems,each,mask", [(12, 6, 62), (1, 90, 62), (3, 40, 5)])
+def test_line_dedup_against_all_pairs(spark, monkeypatch, stems, each, mask):
+    monkeypatch.setattr(line_dedup, "MASK", mask)
     rng = random.Random(stems)
-    lines = make_lines(rng, stems, each) + ["short", "short", ""]
+    lines = make_lines(rng, stems, each) + ["short", "short", "", "", " \t", "shore", "once"]
     rng.shuffle(lines)
     docs = [(i // 3, lines[i : i + 3]) for i in range(0, len(lines), 3)]
     docs = [(i, "\n".join(part)) for i, (_, part) in enumerate(docs)]
@@ -78,6 +80,8 @@ def test_line_dedup_against_all_pairs(spark, stems, each):
     long = sorted({line for _, line in places if len(line) >= line_dedup.MIN_CHARS})
     linked = [(a, b) for i, a in enumerate(long) for b in long[i + 1 :] if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
     root, degree = roots(long, linked), defaultdict(int)
+    # shorter ones are compared for equality, blank ones not at all
+    root |= {line: line for _, line in places if len(line) < line_dedup.MIN_CHARS and line.strip()}
     for pair in linked:
         for line in pair:
             degree[line] += 1
@@ -89,6 +93,32 @@ def test_line_dedup_against_all_pairs(spark, stems, each):
     assert {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.n_links, r.kept) for r in found} == want
 
 
+def test_many_near_copies_make_few_rows(spark):
+    """600 different lines within two edits of one: classes and numbers of links are exact."""
+    rng, stem = random.Random(8), "a line of some sixty letters and blanks that many texts share"
+    lines = set()
+    while len(lines) < 600:
+        at = rng.sample(range(len(stem)), 2)
+        lines.add("".join(rng.choice("xyz") if i in at[: rng.randrange(1, 3)] else c for i, c in enumerate(stem)))
+    lines = sorted(lines)
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    found = line_dedup.near_lines(docs).collect()
+
+    # of one length: two letters differ at most, or one goes and another comes, and what lies between is shifted
+    def near(a, b):
+        at = [i for i, (x, y) in enumerate(zip(a, b)) if x != y]
+        i, j = at[0], at[-1]
+        return len(at) <= 2 or a[i + 1 : j + 1] == b[i:j] or a[i:j] == b[i + 1 : j + 1]
+
+    linked = [(a, b) for a in range(600) for b in range(a) if near(lines[a], lines[b])]
+    root, degree = roots(range(600), linked), defaultdict(int)
+    for pair in linked:
+        for i in pair:
+            degree[i] += 1
+    assert {r.doc_id: (r.class_doc_id, r.n_links) for r in found} == {i: (root[i], degree[i]) for i in range(600)}
+    assert len(linked) > 10_000
+
+
 def test_edit_band_against_the_full_matrix(spark):
     rng, rows = random.Random(3), []
     while len(rows) < 300:

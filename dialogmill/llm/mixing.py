@@ -14,6 +14,10 @@ SHARE = 1.5
 MOST_COPIES = 2
 #: Documents in a bucket of ranks, on average; one bucket per source is ordered row by row.
 BUCKET_DOCS = 4096
+#: Documents of so many words or more have a source's highest inclusion chance; below, it falls with their words.
+FULL_WORDS = 1024
+#: Chances are kept this far from 0 and 1, so that their odds are finite.
+LEAST_CHANCE = 2.0**-40
 #: 13 hex digits.
 UNIT = float(1 << 52)
 
@@ -64,14 +68,18 @@ def mix(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """Rows (key, doc_id, source, size, source_size, target, copies, taken), one per row of ``docs``.
-
-    A document's expected copies are its source's target over its source's size. The
-    whole ones are certain. The rest is its inclusion probability: documents are
-    ranked by random odds over inclusion odds, and the first of each source are taken
-    until its target in words is met, to half a document. Ranks are counted in
-    buckets of their random number; sums per bucket tell which bucket holds the end,
-    and only that one is ordered by row, so no source passes through one task.
+    """Rows (key, doc_id, source, size, source_size, target, copies, taken, chance), one per row of ``docs``.
+
+    A source's target over its size is the copies it has on average. The whole ones are
+    certain for each of its documents. The rest, r, is their mean inclusion chance:
+    a document's own is r + r * (1 - r) * (h - H), where h, from 0 to 1, grows with its
+    words up to ``FULL_WORDS``, and H is the mean of h over the source's words. That lies
+    between 0 and 1, and weighed by words it averages r, so expected words meet the target.
+    Documents are ranked by random odds over inclusion odds, and the first of each source
+    are taken until its target in words is met, to half a document. Ranks are counted in
+    buckets; sums per bucket tell which one holds the end, and only that one is
+    ordered by row, so no source passes through one task. At the end, near r, a bucket
+    holds at most about twice ``BUCKET_DOCS`` documents.
 
     Rows with the same id and text are one document of that many times its size and
     are taken together. Null and empty texts have size 0 and are in step with
@@ -88,25 +96,36 @@ def mix(
         "sizes",
     )
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
+    full = F.least(F.col("size"), F.lit(FULL_WORDS))
+    sizes = settled(
+        rows.groupBy("source").agg(
+            F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"), F.sum(F.col("size") * full).alias("full_size")
+        ),
+        "sources",
+    )
+    shares = sizes.select("source", (F.col("full_size") / F.greatest("source_size", F.lit(1)) / FULL_WORDS).alias("mean_full"))
     plan = settled(
-        targets(sizes, weights, share)
+        targets(sizes.drop("full_size"), weights, share).alias("t").join(shares.alias("h"), same("t", "h")).select("t.*", "mean_full")
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
         .withColumn("buckets", F.ceil(F.col("n_docs") / BUCKET_DOCS)),
         "targets",
     )
-    chance = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
+    mean = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
+    own = F.col("mean") + F.col("mean") * (1 - F.col("mean")) * (full / F.lit(float(FULL_WORDS)) - F.col("mean_full"))
+    inner = lambda p: F.least(F.greatest(p, F.lit(LEAST_CHANCE)), F.lit(1 - LEAST_CHANCE))
     odds = lambda p: p / (1 - p)
     ranked = (
         rows.alias("d")
         .join(plan.alias("p"), same("d", "p"))
-        .select("d.*", "n_docs", "source_size", "target", "whole", "rest", "buckets", chance.alias("chance"))
-        .withColumn("rank", F.when(F.col("chance") > 0, odds(F.col("u")) / odds(F.col("chance"))))
-        # within a source the rank grows with u
-        .withColumn("bucket", F.floor(F.col("u") * F.col("buckets")))
+        .select("d.*", "n_docs", "source_size", "target", "whole", "rest", "buckets", "mean_full", mean.alias("mean"))
+        .withColumn("chance", F.when(F.col("mean") > 0, inner(own)))
+        .withColumn("rank", odds(F.col("u")) / odds(F.col("chance")))
+        # what u would be in a source of equal chances: it grows with the rank
+        .withColumn("level", F.col("rank") * odds(inner(F.col("mean"))))
+        .withColumn("bucket", F.least(F.floor(F.col("level") / (1 + F.col("level")) * F.col("buckets")), F.col("buckets") - 1))
     )
-    drawn = ranked.where("chance > 0")
+    drawn = ranked.where("chance IS NOT NULL")
     upto = Window.partitionBy("source").orderBy("bucket")
     sums = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     ends = (
@@ -126,7 +145,10 @@ def mix(
         .withColumn("drawn", F.coalesce((F.col("bucket") < F.col("end")) | ((F.col("bucket") == F.col("end")) & F.col("i.key").isNotNull()), F.lit(False)))
     )
     copies = (F.col("whole") + F.col("drawn").cast("long")).cast("long")
-    return chosen.select("d.key", "d.doc_id", "d.source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return chosen.select(
+        "d.key", "d.doc_id", "d.source", "size", "source_size", "target",
+        copies.alias("copies"), (copies * F.col("size")).alias("taken"), "chance",
+    )
 
 
 def apply_mix(docs: DataFrame, seed: int = 0) -> DataFrame:

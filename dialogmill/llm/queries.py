@@ -51,7 +51,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), MIX_SEED)
-    return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken", "chance")
 
 
 OP3_SQL = f"""
@@ -63,6 +63,7 @@ docs AS (
   SELECT doc_id, source, size, coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(text) AS name FROM rows),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CAST(sum(size * least(size, {mixing.FULL_WORDS})) AS DOUBLE) / CAST(greatest(sum(size), 1) AS DOUBLE) / {mixing.FULL_WORDS} AS mean_full,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
   FROM docs GROUP BY source),
 -- each source as the last one that is filled to twice its size
@@ -75,22 +76,30 @@ tried AS (
 chosen AS (SELECT min(edge) AS edge, min_by(CAST(remain AS DOUBLE) / CAST(heavy AS DOUBLE), edge) AS level
            FROM tried WHERE CAST(remain AS DOUBLE) / CAST(heavy AS DOUBLE) <= edge),
 plan AS (
-  SELECT source, source_size,
+  SELECT source, source_size, mean_full,
          CASE WHEN source_size = 0 THEN 0.0 ELSE least(CAST(2 * source_size AS DOUBLE), level * weight) END AS target
   FROM sources, chosen),
 split AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM plan),
-ranked AS (
-  SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
-         CAST('0x' || substr(md5('{MIX_SEED}:' || d.name), 1, 13) AS UBIGINT) AS u
+drawn AS (
+  SELECT d.*, p.source_size, p.mean_full, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
+         CASE WHEN p.source_size > 0 THEN (p.target - p.whole * p.source_size) / p.source_size ELSE 0.0 END AS mean,
+         (CAST(CAST('0x' || substr(md5('{MIX_SEED}:' || d.name), 1, 13) AS UBIGINT) AS DOUBLE) + 0.5) / CAST({1 << 52} AS DOUBLE) AS u
   FROM docs d JOIN split p ON d.source IS NOT DISTINCT FROM p.source),
+-- within a source the inclusion chance grows with the words
+chances AS (
+  SELECT *, CASE WHEN mean > 0 THEN least(greatest(
+           mean + mean * (1 - mean) * (CAST(least(size, {mixing.FULL_WORDS}) AS DOUBLE) / {mixing.FULL_WORDS} - mean_full),
+           CAST({mixing.LEAST_CHANCE!r} AS DOUBLE)), CAST({1 - mixing.LEAST_CHANCE!r} AS DOUBLE)) END AS chance
+  FROM drawn),
+ranked AS (SELECT *, u / (1 - u) / (chance / (1 - chance)) AS rank FROM chances),
 summed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, name RANGE UNBOUNDED PRECEDING) AS upto,
-         sum(size) OVER (PARTITION BY source, u, name) AS own
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, name RANGE UNBOUNDED PRECEDING) AS upto,
+         sum(size) OVER (PARTITION BY source, rank, name) AS own
   FROM ranked)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target,
        whole + CAST(rest > 0 AND upto - own / 2 <= rest AS BIGINT) AS copies,
-       CAST(size * (whole + CAST(rest > 0 AND upto - own / 2 <= rest AS BIGINT)) AS BIGINT) AS taken
+       CAST(size * (whole + CAST(rest > 0 AND upto - own / 2 <= rest AS BIGINT)) AS BIGINT) AS taken, chance
 FROM summed
 """
 

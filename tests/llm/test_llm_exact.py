@@ -1,6 +1,7 @@
 """Operators with exact results against plain Python on small tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dialogmill.llm import line_dedup, queries, quality, simhash, token_files
+from dialogmill.llm import line_dedup, mixing, queries, quality, simhash, token_files
 from dialogmill.llm.bpe import safe_pieces
 
 SF = "/root/testdata/sf0.001"
@@ -240,3 +241,21 @@ def test_mix_meets_its_targets(spark):
     rows = queries.op3_mixing(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source"), "doc_id")
     for r in rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most"), F.max("copies").alias("copies")).collect():
         assert abs(r.taken - r.target) <= r.most and r.copies <= 2
+
+
+def test_mix_gives_documents_of_a_source_their_own_chances(spark):
+    rows = [(i, " ".join(["w"] * (1 + 37 * i % 1500)), "ab"[i % 4 == 0]) for i in range(4000)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in "ab":
+        own = [r for r in mixed if r.source == source and r.chance is not None]
+        total, target = sum(r.size for r in own), own[0].target
+        rest = target - int(target / total) * total
+        # expected words are the target, longer documents are likelier, and both kinds are taken
+        assert 0 < rest < total and math.isclose(sum(r.chance * r.size for r in own), rest, rel_tol=1e-9)
+        by_size = sorted(own, key=lambda r: r.size)
+        assert all(a.chance <= b.chance for a, b in zip(by_size, by_size[1:])) and by_size[0].chance < by_size[-1].chance
+        taken = lambda some: sum(r.copies - int(target / total) for r in some) / len(some)
+        half = len(own) // 2
+        for some in (by_size[:half], by_size[half:]):
+            assert abs(taken(some) - sum(r.chance for r in some) / len(some)) < 0.05
+        assert abs(sum(r.taken for r in own) - target) <= max(r.size for r in own)

@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A vector is turned by a fast pseudo-rotation (three rounds of random signs and a
-Hadamard transform) and assigned to the nearest signed axis; each table has a
-rotation of its own. A query probes the axes nearest to it in each table. Vectors
-and queries of one bucket meet in a task of bounded size, which returns the
-nearest by exact distance; no pair of a query and a candidate is ever a row.
+Hadamard transform) and assigned to the nearest signed axis. A table joins several
+such hashes, each with a rotation of its own, into the number of one cell; how many
+grows with the logarithm of the rows, so a cell keeps few rows at any size. A query
+probes the cells nearest to it in each table. Neighbouring cells are stored as one
+bucket; its vectors and the queries that probe some of its cells meet in a task of
+bounded size, which returns the nearest by exact distance; no pair of a query and a
+candidate is ever a row.
 """
 
 from __future__ import annotations
@@ -19,9 +22,12 @@ from pyspark.sql import functions as F
 from dialogmill.llm.common import settled
 
 TABLES = 8
-PROBES = 14
-#: Vectors and queries of a bucket that meet in one task, on average, at most.
+#: Cells a query probes in each table, by the number of hashes; from there on eight times more with each hash.
+PROBES = (14, 400, 3200)
+#: Vectors and queries of a bucket that meet in one task, on average, at most; buckets hold half of it on average.
 CHUNK = 4096
+#: Numbers in a block of a task's arrays.
+BLOCK = 4_000_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -47,11 +53,44 @@ def rotate(x: np.ndarray, table: int, seed: int = 0) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, table: int, probes: int, seed: int = 0) -> np.ndarray:
-    """The ``probes`` nearest signed axes of each row, nearest first."""
-    turned = rotate(x, table, seed)
-    both = np.concatenate([turned, -turned], axis=1)
-    return np.argsort(-both, axis=1, kind="stable")[:, :probes]
+def hashes_for(n: int, width: int) -> int:
+    """How many hashes a table joins: the most whose cells, ``width`` to their power, are not more than the rows."""
+    hashes = 1
+    while width ** (hashes + 1) <= n:
+        hashes += 1
+    return hashes
+
+
+def probes_for(hashes: int) -> int:
+    return PROBES[hashes - 1] if hashes <= len(PROBES) else PROBES[-1] * 8 ** (hashes - len(PROBES))
+
+
+def cells(x: np.ndarray, table: int, hashes: int, probes: int, seed: int = 0, tables: int = TABLES) -> np.ndarray:
+    """The ``probes`` nearest cells of each row (all, if fewer), in no order.
+
+    A cell's distance is the sum, over its hashes, of the squared gap between the nearest axis
+    and the cell's own. The nearest so far, joined with all axes of the next hash, hold the nearest.
+    """
+    width = 2 << (x.shape[1] - 1).bit_length()
+    found = []
+    for some in np.array_split(x, max(1, -(-len(x) * width * (probes if hashes > 1 else 1) // BLOCK))):
+        cell, cost = np.zeros((len(some), 1), np.int64), np.zeros((len(some), 1))
+        for turn in range(hashes):
+            turned = rotate(some, table + tables * turn, seed)
+            both = np.concatenate([turned, -turned], axis=1)
+            gaps = (both.max(axis=1, keepdims=True) - both) ** 2
+            cost = (cost[:, :, None] + gaps[:, None, :]).reshape(len(some), -1)
+            cell = (cell[:, :, None] * width + np.arange(width)).reshape(len(some), -1)
+            if cost.shape[1] > probes:
+                kept = np.argpartition(cost, probes - 1, axis=1)[:, :probes]
+                cost, cell = np.take_along_axis(cost, kept, 1), np.take_along_axis(cell, kept, 1)
+        found.append(cell)
+    return np.concatenate(found)
+
+
+def buckets(cell: np.ndarray, n: int, hashes: int, width: int) -> np.ndarray:
+    """The bucket of each cell: cells that differ in their last hash only share one."""
+    return (cell // width if hashes > 1 else cell) % -(-2 * n // CHUNK)
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -61,60 +100,76 @@ def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(good, F.lit(False))).distinct()
 
 
-def _placed(rows: DataFrame, tables: int, probes: int | None, seed: int) -> DataFrame:
-    """Rows (dim, table_no, bucket, vec_id, v): each vector in its nearest buckets; all buckets without ``probes``."""
+def _placed(rows: DataFrame, tables: int, hashes: int | None, asking: bool, probes: int | None, seed: int) -> DataFrame:
+    """Rows (dim, table_no, bucket, cells, vec_id, v), from rows (vec_id, v, n): a vector's own cell in
+    each table, or, when ``asking``, one row for each bucket that holds cells to probe."""
     kind = rows.schema["v"].dataType.simpleString()
 
+    def place(x: np.ndarray, table: int, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Row number, bucket and cells of each row to give out."""
+        width = 2 << (x.shape[1] - 1).bit_length()
+        joined = hashes or hashes_for(n, width)
+        near = cells(x, table, joined, (probes or probes_for(joined)) if asking else 1, seed)
+        cell, row = near.ravel(), np.repeat(np.arange(len(x)), near.shape[1])
+        bucket = buckets(cell, n, joined, width)
+        order = np.lexsort((cell, bucket, row))
+        cell, row, bucket = cell[order], row[order], bucket[order]
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])])
+        return row[first], bucket[first], np.split(cell, first[1:])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes = batch["v"].map(len).to_numpy()
             for dim in np.unique(sizes):
                 part = batch[sizes == dim]
-                x = np.stack(part["v"].to_numpy()).astype(float)
-                for table in range(tables):
-                    near = axes(x, table, probes or 2 * (1 << (int(dim) - 1).bit_length()), seed)
-                    for some in np.array_split(np.arange(len(part)), -(-near.size // 50_000)):
+                n = int(part["n"].iloc[0])
+                for some in np.array_split(np.arange(len(part)), -(-len(part) // (100 if asking else 10_000))):
+                    piece = part.iloc[some]
+                    x = np.stack(piece["v"].to_numpy()).astype(float)
+                    for table in range(tables):
+                        row, bucket, within = place(x, table, n)
                         yield pd.DataFrame(
                             {
                                 "dim": int(dim),
                                 "table_no": table,
-                                "bucket": near[some].ravel(),
-                                "vec_id": np.repeat(part["vec_id"].to_numpy()[some], near.shape[1]),
-                                "v": np.repeat(part["v"].to_numpy()[some], near.shape[1]),
+                                "bucket": bucket,
+                                "cells": within,
+                                "vec_id": piece["vec_id"].to_numpy()[row],
+                                "v": piece["v"].to_numpy()[row],
                             }
                         )
 
-    return rows.mapInPandas(run, f"dim int, table_no int, bucket int, vec_id long, v {kind}")
+    return rows.mapInPandas(run, f"dim int, table_no int, bucket long, cells array<long>, vec_id long, v {kind}")
 
 
 def _nearest(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest of ``vectors`` to each query, by exact distance, ties to the smaller id."""
-    ids = vectors["vec_id"].to_numpy()
-    x = np.stack(vectors["v"].to_numpy()).astype(float)
-    squares = (x**2).sum(axis=1)
+    """The k nearest to each query of the vectors in its cells, by exact distance, ties to the smaller id."""
+    own = np.concatenate(vectors["cells"].to_numpy())
+    order = np.argsort(own, kind="stable")
+    own, ids = own[order], vectors["vec_id"].to_numpy()[order]
+    x, asked = np.stack(vectors["v"].to_numpy()[order]).astype(float), queries["vec_id"].to_numpy()
+    most = max(1, BLOCK // x.shape[1])
     found: list[tuple] = []
-    for query, v in zip(queries["vec_id"], queries["v"]):
-        q = np.asarray(v, float)
-        # a first cut by the expanded square; what is close to its edge stays in
-        rough = squares - 2 * (x @ q) + q @ q
-        rough[ids == query] = np.inf
-        if k < len(rough):
-            edge = np.partition(rough, k - 1)[k - 1]
-            some = np.flatnonzero(rough <= edge + 1e-6 * (1 + abs(edge)))
-        else:
-            some = np.arange(len(rough))
+    for at, (query, v, probed) in enumerate(zip(asked, queries["v"], queries["cells"])):
+        start, end = np.searchsorted(own, probed, "left"), np.searchsorted(own, probed, "right")
+        length = end - start
+        # the places of all vectors in the probed cells, one cell after the other
+        some = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
         some = some[ids[some] != query]
-        exact = np.sqrt(((x[some] - q) ** 2).sum(axis=1))
-        best = np.lexsort((ids[some], exact))[:k]
-        found += zip([query] * len(best), ids[some][best], exact[best])
+        if len(some):
+            q = np.asarray(v, float)
+            exact = np.concatenate([np.sqrt(((x[part] - q) ** 2).sum(axis=1)) for part in np.array_split(some, -(-len(some) // most))])
+            best = np.lexsort((ids[some], exact))[:k]
+            found += zip([asked[at]] * len(best), ids[some][best], exact[best])
     return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
 
-def _search(queries: DataFrame, vectors: DataFrame, k: int, tables: int, probes: int | None, seed: int) -> DataFrame:
+def _search(queries: DataFrame, vectors: DataFrame, k: int, tables: int, hashes: int | None, probes: int | None, seed: int) -> DataFrame:
     """Rows (query_id, vec_id, score): of each task the k nearest, each pair once."""
     place = ("dim", "table_no", "bucket")
-    stored, asked = settled(_placed(vectors, tables, 1, seed), "index"), settled(_placed(queries, tables, probes, seed), "probes")
-    # twice the width rows a table and width at most, so small however many vectors there are
+    stored = settled(_placed(vectors, tables, hashes, False, None, seed), "index")
+    asked = settled(_placed(queries, tables, hashes, True, probes, seed), "probes")
+    # one row a bucket, that is for some 2,048 vectors
     sizes = stored.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("v_chunks")).join(
         asked.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("q_chunks")), list(place)
     )
@@ -124,7 +179,7 @@ def _search(queries: DataFrame, vectors: DataFrame, k: int, tables: int, probes:
     left = asked.join(sizes, list(place)).withColumn("q_chunk", own("q_chunks")).withColumn("v_chunk", each("v_chunks"))
     right = stored.join(sizes, list(place)).withColumn("v_chunk", own("v_chunks")).withColumn("q_chunk", each("q_chunks"))
     group = (*place, "q_chunk", "v_chunk")
-    columns = (*group, "vec_id", "v")
+    columns = (*group, "cells", "vec_id", "v")
 
     def run(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or stored.empty:
@@ -147,7 +202,7 @@ def nearest(
     k: int = 10,
     every: int = 100,
     tables: int = TABLES,
-    probes: int = PROBES,
+    probes: int | None = None,
     seed: int = 0,
     vec_id: str = "vec_id",
     vector: str = "embedding",
@@ -155,17 +210,20 @@ def nearest(
     """Rows (query_id, rank, vec_id, score): the ``k`` nearest found of each id divisible by ``every``.
 
     Candidates are all rows of other ids with vectors of the same length; ``score``
-    is the Euclidean distance in double precision. A query that finds fewer than
-    ``k`` is searched again through all buckets of one table, that is against every row.
+    is the Euclidean distance in double precision. Hashes and, unless given, ``probes``
+    follow from the number of vectors of a length. A query that finds fewer than
+    ``k`` is searched again through all cells of one table, that is against every row.
     Null ids, and vectors null, empty, zero or holding null or non-finite numbers
     take no part. Repeated rows count once; of different vectors with one id the
     nearest counts. An empty table gives none.
     """
-    rows = settled(usable(vectors, vec_id, vector), "vectors")
+    usables = settled(usable(vectors, vec_id, vector), "vectors")
+    counts = settled(usables.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")), "lengths")
+    rows = usables.join(counts, F.size("v") == F.col("dim")).drop("dim")
     queries = rows.where(F.col("vec_id") % every == 0)
-    found = settled(_search(queries, rows, k, tables, probes, seed), "found")
-    short = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n"))
-    few = queries.join(short, queries["vec_id"] == short["query_id"], "left").where(F.coalesce("n", F.lit(0)) < k).select("vec_id", "v")
+    found = settled(_search(queries, rows, k, tables, None, probes, seed), "found")
+    short = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n_found"))
+    few = queries.join(short, queries["vec_id"] == short["query_id"], "left").where(F.coalesce("n_found", F.lit(0)) < k).select("vec_id", "v", "n")
     if not few.isEmpty():
-        found = found.union(_search(few, rows, k, 1, None, seed))
+        found = found.union(_search(few, rows, k, 1, 1, 1 << 31, seed))
     return _ranked(found, k)

@@ -91,6 +91,40 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert wanted and hits >= 0.9 * wanted
 
 
+def test_neighbours_of_joined_hashes(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(9000, 32)), np.repeat(rng.normal(size=(1, 32)), 3000, axis=0)])
+    assert neighbours.hashes_for(len(x), 64) == 2
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(rows, every=400).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert sorted(found) == list(range(0, 12000, 400)) and all(len(f) == 10 and f == sorted(f) for f in found.values())
+    hits = 0
+    for q, mine in found.items():
+        apart = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        best = [i for i in np.lexsort((np.arange(len(x)), apart)) if i != q][:10]
+        hits += len(set(best) & {i for _, i in mine})
+    assert hits >= 0.9 * 10 * len(found)
+
+
+def test_probed_cells_are_the_nearest():
+    x = np.random.default_rng(3).normal(size=(20, 5))
+    for hashes in (1, 2, 3):
+        every = neighbours.cells(x, 0, hashes, 16**hashes)
+        assert all(sorted(row) == list(range(16**hashes)) for row in every.tolist())
+        own, some = neighbours.cells(x, 0, hashes, 1), neighbours.cells(x, 0, hashes, 9)
+        for row, cell, near in zip(x, own[:, 0], some):
+            gaps = []
+            for turn in range(hashes):
+                turned = neighbours.rotate(row[None], neighbours.TABLES * turn)[0]
+                both = np.concatenate([turned, -turned])
+                gaps.append((both.max() - both) ** 2)
+            cost = lambda c: sum(gaps[t][c // 16 ** (hashes - 1 - t) % 16] for t in range(hashes))  # noqa: E731, B023
+            assert cost(int(cell)) == 0
+            assert math.isclose(max(cost(int(c)) for c in near), sorted(cost(c) for c in range(16**hashes))[8], abs_tol=1e-12)
+
+
 def test_neighbours_of_odd_vectors(spark):
     odd = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (100, None), (200, []), (300, [0.0, 0.0]), (400, [float("nan"), 1.0]), (500, [None, 1.0]),
            (None, [1.0, 1.0]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, [1.0, 0.0, 0.0])]

@@ -35,9 +35,10 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     n, d = x.shape
     step = 1
     while step < d:
-        pairs = x.reshape(n, d // (2 * step), 2, step)
-        x = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(n, d)
-        step *= 2
+        pairs, turned = x.reshape(n, d // (2 * step), 2, step), np.empty((n, d // (2 * step), 2, step))
+        np.add(pairs[:, :, 0], pairs[:, :, 1], out=turned[:, :, 0])
+        np.subtract(pairs[:, :, 0], pairs[:, :, 1], out=turned[:, :, 1])
+        x, step = turned.reshape(n, d), 2 * step
     return x / np.sqrt(d)
 
 
@@ -73,11 +74,15 @@ def cells(x: np.ndarray, table: int, hashes: int, probes: int, seed: int = 0, ta
     """
     width = 2 << (x.shape[1] - 1).bit_length()
     found = []
-    for some in np.array_split(x, max(1, -(-len(x) * width * (probes if hashes > 1 else 1) // BLOCK))):
+    # few rows at a time: their transforms stay in the processor's cache
+    for some in np.array_split(x, max(1, -(-len(x) // 1000), -(-len(x) * width * (probes if hashes > 1 else 1) // BLOCK))):
         cell, cost = np.zeros((len(some), 1), np.int64), np.zeros((len(some), 1))
         for turn in range(hashes):
             turned = rotate(some, table + tables * turn, seed)
             both = np.concatenate([turned, -turned], axis=1)
+            if probes == 1:
+                cell = cell * width + both.argmax(axis=1)[:, None]
+                continue
             gaps = (both.max(axis=1, keepdims=True) - both) ** 2
             cost = (cost[:, :, None] + gaps[:, None, :]).reshape(len(some), -1)
             cell = (cell[:, :, None] * width + np.arange(width)).reshape(len(some), -1)
@@ -112,6 +117,8 @@ def _placed(rows: DataFrame, tables: int, hashes: int | None, asking: bool, prob
         near = cells(x, table, joined, (probes or probes_for(joined)) if asking else 1, seed)
         cell, row = near.ravel(), np.repeat(np.arange(len(x)), near.shape[1])
         bucket = buckets(cell, n, joined, width)
+        if not asking:
+            return row, bucket, list(near)
         order = np.lexsort((cell, bucket, row))
         cell, row, bucket = cell[order], row[order], bucket[order]
         first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])])

@@ -268,8 +268,8 @@ def near_lines(
 def drop_near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` (with doc_id, text and maybe n_chars) with texts of their kept lines only.
 
-    Lines of fewer than ``min_chars`` characters all stay. A document of whose lines
-    none is left goes; null and empty texts stay. Rows of one doc_id but different
+    Lines of fewer than ``min_chars`` characters go if an earlier one is equal; blank
+    lines stay. A document of whose lines none is left goes; null and empty texts stay. Rows of one doc_id but different
     texts are told apart by their texts. ``n_chars`` follows the text.
     """
     key = row_key("doc_id", "text")
@@ -278,7 +278,7 @@ def drop_near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     found = near_lines(docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text"), edits, min_chars)
     gone = found.where("NOT kept").groupBy(F.col("doc_id.key").alias("_key")).agg(F.collect_set("line_no").alias("gone"))
     lines = F.split(F.col("row.text"), "\n", -1)
-    left = F.filter(lines, lambda line, at: ~F.array_contains(F.col("gone"), at) | (F.length(line) < min_chars))
+    left = F.filter(lines, lambda line, at: ~F.array_contains(F.col("gone"), at))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).when(F.size(left) > 0, F.array_join(left, "\n"))
     joined = keyed.join(gone, "_key", "left").withColumn("_text", text).where("gone IS NULL OR _text IS NOT NULL")
     columns = [F.col("_text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]

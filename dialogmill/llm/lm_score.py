@@ -7,8 +7,9 @@ product with the class's vector, plus a bias. A word outside the common ones has
 the other class's probability times its share of their smoothed counts, so a
 text's probability is that of its words and all texts' probabilities add up.
 
-Every task trains on its own training texts from one start, and the models are
-averaged by tokens. Counts of all words are gathered over all training texts.
+Training goes in rounds, each over its own share of all training texts: every task
+goes on from the last round's model on its part of the share, and the tasks' models
+are averaged by tokens. Counts of all words are gathered over all training texts.
 """
 
 from __future__ import annotations
@@ -29,8 +30,12 @@ from dialogmill.llm.common import fold, settled
 #: Words with a class of their own, size of the vectors, and noise words for each batch of tokens.
 CLASSES = 2000
 DIMENSIONS = 16
-NOISE = 24
-BATCH = 8192
+NOISE = 64
+BATCH = 512
+#: Size of a step, shares of the training texts learned from between two averages, and tokens of a row of class ids.
+RATE = 0.3
+ROUNDS = 4
+PIECE = 65_536
 #: Words whose counts every task has; rarer ones are joined.
 COMMON_WORDS = 200_000
 #: Different words counted in a task before they are passed on.
@@ -125,18 +130,28 @@ class LogBilinear:
 
     NAMES = ("context", "place", "target", "bias")
 
-    def __init__(self, shares: np.ndarray, seed: int = 0, dimensions: int = DIMENSIONS):
+    def __init__(self, shares: np.ndarray, seed: int | tuple[int, ...] = 0, dimensions: int = DIMENSIONS, start: LogBilinear | None = None):
         rng = np.random.default_rng(seed)
         outputs = len(shares)
         self.shares = shares
-        self.context = rng.normal(0, 0.1, (outputs + 1, dimensions)).astype(np.float32)
-        self.place = np.ones((2, dimensions), np.float32)
-        self.target = rng.normal(0, 0.1, (outputs, dimensions)).astype(np.float32)
-        self.bias = np.log(shares).astype(np.float32)[:, None]
-        self.noise = np.random.default_rng(seed + 1)
+        if start:
+            self.take({n: getattr(start, n).copy() for n in self.NAMES})
+        else:
+            self.context = rng.normal(0, 0.1, (outputs + 1, dimensions)).astype(np.float32)
+            self.place = np.ones((2, dimensions), np.float32)
+            self.target = rng.normal(0, 0.1, (outputs, dimensions)).astype(np.float32)
+            self.bias = np.log(shares).astype(np.float32)[:, None]
+        self.noise = rng
         self.edges = np.cumsum(shares)
         self.squares = {n: np.full(getattr(self, n).shape, 1e-3, np.float32) for n in self.NAMES}
 
+    def take(self, arrays: dict[str, np.ndarray]) -> None:
+        for name, value in arrays.items():
+            setattr(self, name, value)
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {n: getattr(self, n) for n in self.NAMES}
+
     def _move(self, name: str, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
         """Adaptive step on some rows; gradients of one row add up."""
         order = np.argsort(rows, kind="stable")
@@ -147,7 +162,7 @@ class LogBilinear:
         self.squares[name][rows] += summed**2
         getattr(self, name)[rows] += rate * summed / np.sqrt(self.squares[name][rows])
 
-    def learn(self, first: np.ndarray, second: np.ndarray, target: np.ndarray, rate: float = 0.05) -> None:
+    def learn(self, first: np.ndarray, second: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
         """One step of noise-contrastive estimation: ``first`` is two tokens before the target, ``second`` one."""
         n = len(target)
         noise = np.minimum(np.searchsorted(self.edges, self.noise.random(NOISE)), len(self.shares) - 1)
@@ -191,29 +206,54 @@ def contexts(ids: list[np.ndarray], outputs: int) -> tuple[np.ndarray, np.ndarra
     return line[at - 2], line[at - 1], line[at], owner[at]
 
 
-def train(texts: DataFrame, lex: Lexicon, classes: int = CLASSES) -> LogBilinear:
-    """Average of the models that the tasks train on all rows of the string column ``text``."""
-    model = LogBilinear(class_shares(lex, classes))
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((lex.words[:classes], model.shares))
+def class_ids(texts: DataFrame, words: list[bytes], outputs: int, piece: int = PIECE) -> DataFrame:
+    """Rows (round, ids) of the columns round and text: a text's classes, two starts before and the end after.
+
+    Long texts are several rows of at most ``piece`` predicted tokens, each led by the two tokens before them.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shares = shared.value
-        place = {w: i for i, w in enumerate(words)}
-        mine, other, seen, held, waiting = LogBilinear(shares), len(words), 0, [], 0
+        place = {w: i for i, w in enumerate(shared.value)}
+        other = len(place)
+        for batch in batches:
+            held, rounds = [], []
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = words_of(text.as_py())
+                line = np.full(len(found) + 3, outputs, "<i4")
+                line[2:-1] = np.fromiter(map(place.get, found, repeat(other)), "<i4", len(found))
+                line[-1] = outputs - 1
+                pieces = [line[i : i + piece + 2].tobytes() for i in range(0, len(line) - 2, piece)]
+                held += pieces
+                rounds += [number] * len(pieces)
+            for i in range(0, len(held), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(rounds[i : i + 1000], pa.int32()), pa.array(held[i : i + 1000], pa.binary())], ["round", "ids"])
+
+    return texts.select("round", "text").mapInArrow(run, "round int, ids binary")
+
+
+def train_round(lines: DataFrame, model: LogBilinear, number: int) -> LogBilinear:
+    """Average of the models that the tasks train from ``model`` on all rows of the column ``ids``; ``model`` if there are none."""
+    shared = lines.sparkSession.sparkContext.broadcast((model.shares, model.arrays()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shares, arrays = shared.value
+        start = LogBilinear(shares)
+        start.take(arrays)
+        mine = LogBilinear(shares, (number, TaskContext.get().partitionId()), start=start)
+        seen, held, waiting = 0, [], 0
 
         def learn():
-            first, second, target, _ = contexts(held, len(shares))
+            first, second, target = (np.concatenate([line[i : len(line) - 2 + i] for line in held]) for i in range(3))
             for i in range(0, len(target), BATCH):
                 mine.learn(first[i : i + BATCH], second[i : i + BATCH], target[i : i + BATCH])
             return len(target)
 
         for batch in batches:
-            for text in batch.column(0):
-                found = words_of(text.as_py())
-                held.append(np.fromiter(map(place.get, found, repeat(other)), np.int64, len(found)))
-                waiting += len(found) + 1
-                if waiting > 8 * BATCH:
+            for ids in batch.column(0):
+                held.append(np.frombuffer(ids.as_buffer(), "<i4"))
+                waiting += len(held[-1]) - 2
+                if waiting > 64 * BATCH:
                     seen += learn()
                     held, waiting = [], 0
         if held:
@@ -226,11 +266,25 @@ def train(texts: DataFrame, lex: Lexicon, classes: int = CLASSES) -> LogBilinear
                     schema=pa.schema([("kind", pa.int32()), ("row", pa.int32()), ("value", pa.list_(pa.float64())), ("seen", pa.int64())]),
                 )
 
-    trained = texts.select("text").mapInArrow(run, "kind int, row int, value array<double>, seen long")
+    trained = lines.select("ids").mapInArrow(run, "kind int, row int, value array<double>, seen long")
     parts = [F.coalesce(F.sum(F.get("value", F.lit(d))), F.lit(0.0)).alias(f"v{d}") for d in range(DIMENSIONS)]
+    averaged = LogBilinear(model.shares, start=model)
     for row in trained.groupBy("kind", "row").agg(F.sum("seen").alias("seen"), *parts).collect():
-        value = getattr(model, LogBilinear.NAMES[row.kind])
+        value = getattr(averaged, LogBilinear.NAMES[row.kind])
         value[row.row] = np.array(row[3 : 3 + value.shape[1]]) / row.seen
+    return averaged
+
+
+def train(texts: DataFrame, lex: Lexicon, classes: int = CLASSES, rounds: int = ROUNDS) -> LogBilinear:
+    """The model after ``rounds`` rounds over the columns doc_id and text; each text is learned from in one of them.
+
+    Texts are turned into class ids once, in a settled table that all rounds read.
+    """
+    model = LogBilinear(class_shares(lex, classes))
+    dealt = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(rounds)).cast("int").alias("round")
+    lines = settled(class_ids(texts.select(dealt, "text"), lex.words[:classes], len(model.shares)), "classes")
+    for number in range(rounds):
+        model = train_round(lines.where(F.col("round") == number), model, number)
     return model
 
 
@@ -241,8 +295,7 @@ def score_texts(docs: DataFrame, lex: Lexicon, model: LogBilinear) -> DataFrame:
     null) has how often the text has it. ``row`` numbers the texts and is only
     good as written, so the result has to be settled before it is used twice.
     """
-    arrays = {n: getattr(model, n) for n in LogBilinear.NAMES}
-    shared = docs.sparkSession.sparkContext.broadcast((lex, model.shares, arrays))
+    shared = docs.sparkSession.sparkContext.broadcast((lex, model.shares, model.arrays()))
     schema = pa.schema(
         [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("times", pa.int64())]
         + [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_other", pa.int64())]
@@ -251,8 +304,7 @@ def score_texts(docs: DataFrame, lex: Lexicon, model: LogBilinear) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, shares, arrays = shared.value
         own = LogBilinear(shares)
-        for name, value in arrays.items():
-            setattr(own, name, value)
+        own.take(arrays)
         early, late, sums = own.tables()
         classes, outputs = len(shares) - 2, len(shares)
         place = {w: i for i, w in enumerate(lex.words)}

@@ -5,24 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialogmill.session import shared_folder
+from dialogmill.session import settled  # noqa: F401  (the operators take it from here)
 
 #: Spark's form of a word: a run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def settled(rows: DataFrame, purpose: str) -> DataFrame:
-    """Write rows below the shared checkpoint folder and read them back.
-
-    This cuts the lineage: a lost executor costs no more than its own tasks,
-    and values such as generated row ids stay as they were written.
-    """
-    spark = rows.sparkSession
-    path = shared_folder(spark, purpose)
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def fold(key: str, divisor: int) -> Column:
     """crc32 of the key as text, modulo ``divisor``; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % divisor

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dialogmill.operators.skew import salted_join
+from dialogmill.operators.skew import spread_join
 from dialogmill.operators.vocab import SpecialTokens, words
+from dialogmill.session import settled
 
 MAX_LENGTH = 256  # fixed value: row length of the reference set-up
 IGNORE_LABEL = -100
 MAX_BROADCAST_VOCAB = 500_000
+HOT_WORDS = 100_000  # of a joined vocabulary, looked up in the tasks
 
 
 def _split_words(rows: DataFrame, text: str, max_tokens: int | None) -> DataFrame:
@@ -33,22 +39,56 @@ def encode(
     special: SpecialTokens = SpecialTokens(),
     max_tokens: int | None = None,
     max_broadcast_vocab: int = MAX_BROADCAST_VOCAB,
+    keep_text: bool = True,
 ) -> DataFrame:
     """Add ``n_tokens`` (of the whole text) and ``ids`` by looking up each word.
 
     ``max_tokens`` keeps the first ids only, which is the truncation rule, and
     then only those words leave the JVM. A vocabulary of at most
     ``max_broadcast_vocab`` entries is sent to the tasks and looked up there,
-    without any shuffle. A larger one is joined; see ``encode_by_join``.
+    without any shuffle. Of a larger one the tasks get so many of the first ids,
+    the frequent words, and the other words are joined; see ``encode_by_join``.
+    The vocabulary is worked out once, into the shared folder. Without
+    ``keep_text`` the text is dropped before rows are stored or shuffled.
     """
-    # limit + 1 rows are enough to know whether the bound holds
-    table = vocab.select("token", "token_id").limit(max_broadcast_vocab + 1).toArrow()
-    if table.num_rows > max_broadcast_vocab:
-        return encode_by_join(rows, text, vocab, key, special, max_tokens)
-    known = rows.sparkSession.sparkContext.broadcast(
-        (table["token"].combine_chunks(), table["token_id"].combine_chunks())
-    )
-    unk = special.unk
+    known = settled(vocab.select("token", "token_id"), "vocab")
+    if known.count() > max_broadcast_vocab:
+        return _encode_joined(rows, text, known, special, max_tokens, max_broadcast_vocab, keep_text)
+    look_up = _look_up(known.toArrow(), special.unk)
+    return _unless(keep_text, text, _split_words(rows, text, max_tokens)).withColumn("ids", look_up("_words")).drop("_words")
+
+
+def encode_by_join(
+    rows: DataFrame,
+    text: str,
+    vocab: DataFrame,
+    key: str,
+    special: SpecialTokens = SpecialTokens(),
+    max_tokens: int | None = None,
+    keep_text: bool = True,
+) -> DataFrame:
+    """The same result for a vocabulary of any size, by a join.
+
+    Frequent words are hot join keys and most of a text, so the first ids, an
+    eighth of the vocabulary and at most ``HOT_WORDS``, go to the tasks. Each row
+    then asks once for each other word it has.
+    """
+    known = settled(vocab.select("token", "token_id"), "vocab")
+    return _encode_joined(rows, text, known, special, max_tokens, min(HOT_WORDS, known.count() // 8), keep_text)
+
+
+def _unless(keep: bool, column: str, rows: DataFrame) -> DataFrame:
+    return rows if keep else rows.drop(column)
+
+
+def _first_ids(vocab: DataFrame, entries: int) -> pa.Table:
+    """At most ``entries`` of the vocabulary, which are the smallest ids where ids are dense."""
+    first = vocab.agg(F.min("token_id")).first()[0] or 0
+    return vocab.filter(F.col("token_id") < first + entries).limit(entries).toArrow()
+
+
+def _look_up(table: pa.Table, unk: int) -> Callable[..., Column]:
+    known = SparkSession.active().sparkContext.broadcast((table["token"].combine_chunks(), table["token_id"].combine_chunks()))
 
     @F.arrow_udf("array<int>")
     def look_up(lists: pa.Array) -> pa.Array:
@@ -58,44 +98,81 @@ def encode(
         offsets = pc.subtract(lists.offsets, lists.offsets[0])
         return type(lists).from_arrays(offsets, found, mask=lists.is_null())
 
-    return _split_words(rows, text, max_tokens).withColumn("ids", look_up("_words")).drop("_words")
+    return look_up
 
 
-def encode_by_join(
-    rows: DataFrame,
-    text: str,
-    vocab: DataFrame,
-    key: str,
-    special: SpecialTokens = SpecialTokens(),
-    max_tokens: int | None = None,
+def _look_up_first(table: pa.Table, unk: int) -> Callable[..., Column]:
+    """``ids`` with a null for each word not in ``table``; ``rest``, these words once
+    each for the row; ``gaps``, the place in ``rest`` for each null in turn."""
+    known = SparkSession.active().sparkContext.broadcast((table["token"].combine_chunks(), table["token_id"].combine_chunks()))
+
+    @F.arrow_udf("ids array<int>, rest array<string>, gaps array<int>")
+    def look_up(lists: pa.Array) -> pa.Array:
+        tokens, ids = known.value
+        words = lists.flatten()
+        offsets = pc.subtract(lists.offsets, lists.offsets[0])
+        place = pc.index_in(words, value_set=tokens)
+        found = pc.if_else(place.is_null(), pa.scalar(None, ids.type), pc.fill_null(ids.take(place), pa.scalar(unk, ids.type))).cast(pa.int32())
+        missing = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
+        starts = np.searchsorted(missing, offsets.to_numpy())
+        row = np.searchsorted(offsets.to_numpy(), missing, side="right") - 1
+        coded = words.take(pa.array(missing)).dictionary_encode()
+        different = max(1, len(coded.dictionary))
+        asked, inverse = np.unique(row * different + coded.indices.to_numpy(), return_inverse=True)
+        asks = np.searchsorted(asked, np.arange(len(lists) + 1) * different)
+        null = lists.is_null()
+        return pa.StructArray.from_arrays(
+            [
+                pa.ListArray.from_arrays(offsets, found, mask=null),
+                pa.ListArray.from_arrays(pa.array(asks, pa.int32()), coded.dictionary.take(pa.array(asked % different)).cast(pa.string())),
+                pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(inverse - asks[row], pa.int32())),
+            ],
+            ["ids", "rest", "gaps"],
+        )
+
+    return look_up
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _fill(ids: pa.Array, gaps: pa.Array, found: pa.Array) -> pa.Array:
+    """The nulls of ``ids`` from ``found``, at the places in ``gaps``."""
+    flat, offsets = ids.flatten(), pc.subtract(ids.offsets, ids.offsets[0])
+    rows = np.repeat(np.arange(len(gaps)), pc.fill_null(pc.list_value_length(gaps), 0).to_numpy())
+    starts = (found.offsets.to_numpy() - found.offsets[0].as_py())[:-1]
+    values = found.flatten().take(pa.array(starts[rows] + gaps.flatten().to_numpy()))
+    return pa.ListArray.from_arrays(offsets, pc.replace_with_mask(flat, flat.is_null(), values), mask=ids.is_null())
+
+
+def _encode_joined(
+    rows: DataFrame, text: str, vocab: DataFrame, special: SpecialTokens, max_tokens: int | None, first: int, keep_text: bool
 ) -> DataFrame:
-    """The same result for a vocabulary of any size, with joins only.
+    """Ids of the vocabulary's first ``first`` entries looked up in the tasks, the others joined.
 
-    Frequent words are hot join keys, so they are salted. Ids are gathered by key
-    and text together, and once for each place: keys may repeat or be null, and
-    rows equal in both have the same ids.
+    Looked-up rows are written once and numbered there, so keys may repeat or be
+    null, and words are split once. Only other words, once a row, meet the
+    vocabulary; rows without any are not shuffled.
     """
-    name = F.concat(F.coalesce(F.concat(F.lit("+"), F.col(key).cast("string")), F.lit("-")), F.lit(":"), F.coalesce(text, F.lit("")))
-    sized = _split_words(rows, text, max_tokens).withColumn("_row", F.md5(name.cast("binary")))
-    pieces = sized.select("_row", F.posexplode_outer("_words").alias("_pos", "token")).filter(
-        F.col("token").isNotNull()
+    look_up = _look_up_first(_first_ids(vocab, first), special.unk)
+    split = _unless(keep_text, text, _split_words(rows, text, max_tokens)).withColumn("_found", look_up("_words"))
+    sized = settled(
+        split.withColumns({"ids": "_found.ids", "_rest": "_found.rest", "_gaps": "_found.gaps", "_row": F.monotonically_increasing_id()})
+        .drop("_words", "_found"),
+        "encoded",
     )
+    asks = sized.select("_row", F.posexplode("_rest").alias("_pos", "token"))
     ids = (
-        salted_join(pieces, vocab.select("token", "token_id"), ["token"], ["_row", "_pos"], "left")
+        spread_join(asks, vocab, "token", ["_row"])
         .groupBy("_row")
-        .agg(
-            F.transform(
-                F.array_sort(
-                    F.collect_set(F.struct("_pos", F.coalesce("token_id", F.lit(special.unk)).alias("id")))
-                ),
-                lambda t: t["id"],
-            ).alias("ids")
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("token_id", F.lit(special.unk)).cast("int").alias("id")))).alias("_asked"))
     )
-    empty = F.when(F.col(text).isNotNull(), F.array().cast("array<int>"))
-    return (
-        sized.drop("_words").join(ids, "_row", "left").withColumn("ids", F.coalesce("ids", empty)).drop("_row")
+    open_rows = F.size("_rest") > 0
+    filled = (
+        sized.filter(open_rows).drop("_rest")
+        .join(ids, "_row")
+        .withColumn("ids", _fill("ids", "_gaps", F.col("_asked.id")))
+        .drop("_row", "_gaps", "_asked")
     )
+    return sized.filter(~open_rows).drop("_row", "_rest", "_gaps").unionByName(filled)
 
 
 def truncate(ids: Column, length: int = MAX_LENGTH) -> Column:

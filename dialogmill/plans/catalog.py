@@ -371,19 +371,19 @@ _TOKENIZED_SQL = f"WITH {ENCODED_CTE} SELECT row_key, n_tokens, {_list_md5('ids'
 
 @query(_TOKENIZED_SQL)
 def tokenized_query(spark: SparkSession, sf: str) -> DataFrame:
-    rows = encode(_texts(spark, sf, spread=True), "text", _vocab(spark, sf), "row_key")
+    rows = encode(_texts(spark, sf, spread=True), "text", _vocab(spark, sf), "row_key", keep_text=False)
     return rows.select("row_key", "n_tokens", _md5("ids").alias("ids_md5"))
 
 
 @query(_TOKENIZED_SQL)
 def tokenized_by_join_query(spark: SparkSession, sf: str) -> DataFrame:
-    rows = encode_by_join(_texts(spark, sf, spread=True), "text", _vocab(spark, sf), "row_key")
+    rows = encode_by_join(_texts(spark, sf, spread=True), "text", _vocab(spark, sf), "row_key", keep_text=False)
     return rows.select("row_key", "n_tokens", _md5("ids").alias("ids_md5"))
 
 
 def _fixed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = encode(_texts(spark, sf, spread=True), "text", _vocab(spark, sf), "row_key", max_tokens=MAX_LENGTH)
-    return fixed_length(rows.drop("text"))
+    rows = encode(_texts(spark, sf, spread=True), "text", _vocab(spark, sf), "row_key", max_tokens=MAX_LENGTH, keep_text=False)
+    return fixed_length(rows)
 
 
 @query(f"""

@@ -78,7 +78,7 @@ def tokenized_rows(
 ) -> DataFrame:
     """Fixed-length rows with masked labels; ``truncated`` tells whether text
     beyond ``length`` tokens is lost. One narrow stage, no shuffle."""
-    encoded = encode(texts, "text", vocab, "row_key", special, max_tokens=length).drop("text")
+    encoded = encode(texts, "text", vocab, "row_key", special, max_tokens=length, keep_text=False)
     return fixed_length(
         encoded.withColumn("truncated", F.col("n_tokens") > length), special, length
     )
@@ -101,7 +101,7 @@ def conversation_rows(
     between two words. ``n_tokens`` counts the whole conversation.
     """
     parts = render_turns(turns, spec, True, turns_per_part)
-    encoded = encode(parts, "text", vocab, "conv_id", special, max_tokens=length).drop("text")
+    encoded = encode(parts, "text", vocab, "conv_id", special, max_tokens=length, keep_text=False)
     order = Window.partitionBy("conv_id").orderBy("part")
     room = F.greatest(F.lit(length) - F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(0)).cast("int")
     kept = encoded.withColumn("_room", room).select("conv_id", "part", "n_tokens", F.slice("ids", F.lit(1), F.col("_room")).alias("ids"))
@@ -127,7 +127,7 @@ def _used_rows(documents: DataFrame, lines: DataFrame, system_prompt: str, vocab
     used = knowledge_text(planned_rows(spread, plan, "row_key", max_steps)).unionByName(
         style_text(planned_rows(style, plan, "row_key", max_steps), system_prompt)
     )
-    return encode(used, "text", vocab, "row_key", special, max_tokens=length)
+    return encode(used, "text", vocab, "row_key", special, max_tokens=length, keep_text=False)
 
 
 def write_steps(used: DataFrame, path: str, buckets: int | None = None) -> str:

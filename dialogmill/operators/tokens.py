@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dialogmill.operators.skew import spread_join
 from dialogmill.operators.vocab import SpecialTokens, words
@@ -19,6 +19,7 @@ MAX_LENGTH = 256  # fixed value: row length of the reference set-up
 IGNORE_LABEL = -100
 MAX_BROADCAST_VOCAB = 500_000
 HOT_WORDS = 100_000  # of a joined vocabulary, looked up in the tasks
+LOOK_UP_ROWS = 1000
 
 
 def _split_words(rows: DataFrame, text: str, max_tokens: int | None) -> DataFrame:
@@ -83,8 +84,9 @@ def _unless(keep: bool, column: str, rows: DataFrame) -> DataFrame:
 
 def _first_ids(vocab: DataFrame, entries: int) -> pa.Table:
     """At most ``entries`` of the vocabulary, which are the smallest ids where ids are dense."""
-    first = vocab.agg(F.min("token_id")).first()[0] or 0
-    return vocab.filter(F.col("token_id") < first + entries).limit(entries).toArrow()
+    ids = vocab.filter(F.col("token_id") >= 0)
+    first = ids.agg(F.min("token_id")).first()[0] or 0
+    return ids.filter(F.col("token_id") < first + entries).limit(entries).toArrow()
 
 
 def _look_up(table: pa.Table, unk: int) -> Callable[..., Column]:
@@ -101,46 +103,46 @@ def _look_up(table: pa.Table, unk: int) -> Callable[..., Column]:
     return look_up
 
 
-def _look_up_first(table: pa.Table, unk: int) -> Callable[..., Column]:
-    """``ids`` with a null for each word not in ``table``; ``rest``, these words once
-    each for the row; ``gaps``, the place in ``rest`` for each null in turn."""
+def _look_up_first(table: pa.Table) -> Callable[..., Column]:
+    """``ids``, and ``rest``, the row's words not in ``table``, once each; such a word's
+    id is -1 minus its place in ``rest``."""
     known = SparkSession.active().sparkContext.broadcast((table["token"].combine_chunks(), table["token_id"].combine_chunks()))
 
-    @F.arrow_udf("ids array<int>, rest array<string>, gaps array<int>")
+    @F.arrow_udf("ids array<int>, rest array<string>")
     def look_up(lists: pa.Array) -> pa.Array:
         tokens, ids = known.value
         words = lists.flatten()
         offsets = pc.subtract(lists.offsets, lists.offsets[0])
-        place = pc.index_in(words, value_set=tokens)
-        found = pc.if_else(place.is_null(), pa.scalar(None, ids.type), pc.fill_null(ids.take(place), pa.scalar(unk, ids.type))).cast(pa.int32())
-        missing = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
-        starts = np.searchsorted(missing, offsets.to_numpy())
+        found = pc.fill_null(ids.take(pc.index_in(words, value_set=tokens)), -1).cast(pa.int32()).to_numpy().copy()
+        missing = np.flatnonzero(found < 0)
         row = np.searchsorted(offsets.to_numpy(), missing, side="right") - 1
         coded = words.take(pa.array(missing)).dictionary_encode()
         different = max(1, len(coded.dictionary))
-        asked, inverse = np.unique(row * different + coded.indices.to_numpy(), return_inverse=True)
-        asks = np.searchsorted(asked, np.arange(len(lists) + 1) * different)
-        null = lists.is_null()
+        asked, which = np.unique(row * different + coded.indices.to_numpy(), return_inverse=True)
+        starts = np.searchsorted(asked, np.arange(len(lists) + 1) * different)
+        found[missing] = -1 - (which - starts[row])
+        rest = coded.dictionary.take(pa.array(asked % different))
         return pa.StructArray.from_arrays(
             [
-                pa.ListArray.from_arrays(offsets, found, mask=null),
-                pa.ListArray.from_arrays(pa.array(asks, pa.int32()), coded.dictionary.take(pa.array(asked % different)).cast(pa.string())),
-                pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(inverse - asks[row], pa.int32())),
+                pa.ListArray.from_arrays(offsets, pa.array(found), mask=lists.is_null()),
+                pa.ListArray.from_arrays(pa.array(starts, pa.int32()), rest),
             ],
-            ["ids", "rest", "gaps"],
+            ["ids", "rest"],
         )
 
     return look_up
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _fill(ids: pa.Array, gaps: pa.Array, found: pa.Array) -> pa.Array:
-    """The nulls of ``ids`` from ``found``, at the places in ``gaps``."""
-    flat, offsets = ids.flatten(), pc.subtract(ids.offsets, ids.offsets[0])
-    rows = np.repeat(np.arange(len(gaps)), pc.fill_null(pc.list_value_length(gaps), 0).to_numpy())
-    starts = (found.offsets.to_numpy() - found.offsets[0].as_py())[:-1]
-    values = found.flatten().take(pa.array(starts[rows] + gaps.flatten().to_numpy()))
-    return pa.ListArray.from_arrays(offsets, pc.replace_with_mask(flat, flat.is_null(), values), mask=ids.is_null())
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """Python gets ``LOOK_UP_ROWS`` rows at a time at most, as whole texts of words are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(usual), LOOK_UP_ROWS) if int(usual) > 0 else LOOK_UP_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
 
 
 def _encode_joined(
@@ -152,27 +154,29 @@ def _encode_joined(
     null, and words are split once. Only other words, once a row, meet the
     vocabulary; rows without any are not shuffled.
     """
-    look_up = _look_up_first(_first_ids(vocab, first), special.unk)
+    look_up = _look_up_first(_first_ids(vocab, first))
     split = _unless(keep_text, text, _split_words(rows, text, max_tokens)).withColumn("_found", look_up("_words"))
-    sized = settled(
-        split.withColumns({"ids": "_found.ids", "_rest": "_found.rest", "_gaps": "_found.gaps", "_row": F.monotonically_increasing_id()})
-        .drop("_words", "_found"),
-        "encoded",
-    )
+    with _short_batches(rows.sparkSession):
+        sized = settled(
+            split.withColumns({"ids": "_found.ids", "_rest": "_found.rest", "_row": F.monotonically_increasing_id()})
+            .drop("_words", "_found"),
+            "encoded",
+        )
     asks = sized.select("_row", F.posexplode("_rest").alias("_pos", "token"))
-    ids = (
+    answer = F.struct("_pos", F.coalesce("token_id", F.lit(special.unk)).cast("int").alias("id"))
+    answers = (
         spread_join(asks, vocab, "token", ["_row"])
         .groupBy("_row")
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("token_id", F.lit(special.unk)).cast("int").alias("id")))).alias("_asked"))
+        .agg(F.transform(F.array_sort(F.collect_list(answer)), lambda a: a["id"]).alias("_answers"))
     )
     open_rows = F.size("_rest") > 0
     filled = (
         sized.filter(open_rows).drop("_rest")
-        .join(ids, "_row")
-        .withColumn("ids", _fill("ids", "_gaps", F.col("_asked.id")))
-        .drop("_row", "_gaps", "_asked")
+        .join(answers, "_row")
+        .withColumn("ids", F.transform("ids", lambda i: F.when(i >= 0, i).otherwise(F.get(F.col("_answers"), -1 - i))))
+        .drop("_row", "_answers")
     )
-    return sized.filter(~open_rows).drop("_row", "_rest", "_gaps").unionByName(filled)
+    return sized.filter(~open_rows).drop("_row", "_rest").unionByName(filled)
 
 
 def truncate(ids: Column, length: int = MAX_LENGTH) -> Column:

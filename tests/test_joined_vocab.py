@@ -1,10 +1,12 @@
 """A vocabulary too large for the tasks: what is shuffled, and how often it is worked out."""
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from dialogmill.operators.skew import spread_join
 from dialogmill.operators.tokens import encode, encode_by_join
+from dialogmill.plans import catalog
 
 WORDS = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]  # 64
 HOT = [f"hot{c}" for c in "abcdefgh"]
@@ -84,3 +86,10 @@ def test_unknown_words_nulls_and_sparse_ids_in_the_joined_part(spark):
         got = encode(rows, "text", vocab, "row_key", max_broadcast_vocab=first).select("row_key", "ids").collect()
         want = [("k", [-5, 2_000_000_000, -5, 0, 0]), ("k", None), (None, []), ("m", [7, 0, 7]), ("m", [7, 0, 7])]
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", ["collated_from_steps", "token_shards", "tokenized"])
+def test_queries_keep_to_their_sql_with_a_joined_vocabulary(spark, monkeypatch, name):
+    special, max_tokens, _, keep_text = encode.__defaults__
+    monkeypatch.setattr(encode, "__defaults__", (special, max_tokens, 1000, keep_text))
+    assert oracle.compare(spark, "/root/testdata/sf0.001", name, catalog.QUERIES[name], catalog.ORACLE[name])

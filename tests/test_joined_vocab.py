@@ -88,7 +88,7 @@ def test_unknown_words_nulls_and_sparse_ids_in_the_joined_part(spark):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name", ["collated_from_steps", "collated", "labels", "token_shards", "tokenized"])
+@pytest.mark.parametrize("name", ["collated_from_steps", "collated", "labels", "pad_trunc", "token_shards", "tokenized"])
 def test_queries_keep_to_their_sql_with_a_joined_vocabulary(spark, monkeypatch, name):
     special, max_tokens, _, keep_text = encode.__defaults__
     monkeypatch.setattr(encode, "__defaults__", (special, max_tokens, 1000, keep_text))

@@ -89,42 +89,53 @@ def _first_ids(vocab: DataFrame, entries: int) -> pa.Table:
     return ids.filter(F.col("token_id") < first + entries).limit(entries).toArrow()
 
 
+def _by_token(table: pa.Table) -> dict[str, int]:
+    """The vocabulary as the tasks get it: made once here and unpacked once a worker, as
+    an Arrow look-up would hash all of it again for every batch."""
+    pairs = zip(table["token"].to_pylist(), table["token_id"].to_pylist())
+    return {token: i for token, i in pairs if i is not None}
+
+
+def _coded(words: pa.Array, known: dict[str, int], missing: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words, the place of each word among them, and their ids; each is looked up once."""
+    coded = words.dictionary_encode(null_encoding="encode")
+    different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    found = np.fromiter((known.get(w, missing) for w in different), np.int32, len(different))
+    return coded.dictionary, coded.indices.to_numpy(), found
+
+
 def _look_up(table: pa.Table, unk: int) -> Callable[..., Column]:
-    known = SparkSession.active().sparkContext.broadcast((table["token"].combine_chunks(), table["token_id"].combine_chunks()))
+    known = SparkSession.active().sparkContext.broadcast(_by_token(table))
 
     @F.arrow_udf("array<int>")
     def look_up(lists: pa.Array) -> pa.Array:
-        tokens, ids = known.value
-        place = pc.index_in(lists.flatten(), value_set=tokens)
-        found = pc.fill_null(ids.take(place), pa.scalar(unk, ids.type)).cast(pa.int32())
+        _, which, found = _coded(lists.flatten(), known.value, unk)
         offsets = pc.subtract(lists.offsets, lists.offsets[0])
-        return type(lists).from_arrays(offsets, found, mask=lists.is_null())
+        return type(lists).from_arrays(offsets, pa.array(found[which]), mask=lists.is_null())
 
     return look_up
 
 
 def _look_up_first(table: pa.Table) -> Callable[..., Column]:
     """``ids``, and ``rest``, the row's words not in ``table``, once each; such a word's
-    id is -1 minus its place in ``rest``."""
-    known = SparkSession.active().sparkContext.broadcast((table["token"].combine_chunks(), table["token_id"].combine_chunks()))
+    id is -1 minus its place in ``rest``. Ids in ``table`` are not negative."""
+    known = SparkSession.active().sparkContext.broadcast(_by_token(table))
 
     @F.arrow_udf("ids array<int>, rest array<string>")
     def look_up(lists: pa.Array) -> pa.Array:
-        tokens, ids = known.value
-        words = lists.flatten()
         offsets = pc.subtract(lists.offsets, lists.offsets[0])
-        found = pc.fill_null(ids.take(pc.index_in(words, value_set=tokens)), -1).cast(pa.int32()).to_numpy().copy()
-        missing = np.flatnonzero(found < 0)
+        words, which, found = _coded(lists.flatten(), known.value, -1)
+        ids = found[which]
+        missing = np.flatnonzero(ids < 0)
         row = np.searchsorted(offsets.to_numpy(), missing, side="right") - 1
-        coded = words.take(pa.array(missing)).dictionary_encode()
-        different = max(1, len(coded.dictionary))
-        asked, which = np.unique(row * different + coded.indices.to_numpy(), return_inverse=True)
+        different = max(1, len(words))
+        asked, place = np.unique(row * different + which[missing], return_inverse=True)
         starts = np.searchsorted(asked, np.arange(len(lists) + 1) * different)
-        found[missing] = -1 - (which - starts[row])
-        rest = coded.dictionary.take(pa.array(asked % different))
+        ids[missing] = -1 - (place - starts[row])
+        rest = words.take(pa.array(asked % different))
         return pa.StructArray.from_arrays(
             [
-                pa.ListArray.from_arrays(offsets, pa.array(found), mask=lists.is_null()),
+                pa.ListArray.from_arrays(offsets, pa.array(ids), mask=lists.is_null()),
                 pa.ListArray.from_arrays(pa.array(starts, pa.int32()), rest),
             ],
             ["ids", "rest"],
@@ -201,7 +212,8 @@ def masked_labels(ids: Column, pad_id: int, length: int = MAX_LENGTH, mask_by: s
     too; ``"position"`` masks the padding only.
     """
     if mask_by == "id":
-        own = F.transform(ids, lambda x: F.when(x == pad_id, IGNORE_LABEL).otherwise(x))
+        masked = F.transform(ids, lambda x: F.when(x == pad_id, IGNORE_LABEL).otherwise(x))
+        own = F.when(F.array_contains(ids, pad_id), masked).otherwise(ids)
     elif mask_by == "position":
         own = ids
     else:

@@ -1,5 +1,7 @@
 """A vocabulary too large for the tasks: what is shuffled, and how often it is worked out."""
 
+import time
+
 import oracle
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +90,22 @@ def test_unknown_words_nulls_and_sparse_ids_in_the_joined_part(spark):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("first", [500_000, 300_000])
+def test_a_small_batch_does_not_pay_for_the_whole_vocabulary(spark, first):
+    vocab = spark.range(400_000).selectExpr("string(id) AS token", "int(id + 3) AS token_id")
+    rows = spark.range(500).selectExpr("string(id) AS row_key", "string(id * 799) AS text").coalesce(1)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(size)
+    spark.conf.set(size, "1")
+    try:
+        start = time.monotonic()
+        got = encode(rows, "text", vocab, "row_key", max_broadcast_vocab=first).select("row_key", "ids").collect()
+    finally:
+        spark.conf.set(size, usual)
+    assert {int(r.row_key): r.ids for r in got} == {i: [i * 799 + 3] for i in range(500)}
+    assert time.monotonic() - start < 35  # 500 batches; 50 to 74 s when each hashed the vocabulary
+
+
 @pytest.mark.parametrize("name", ["collated_from_steps", "collated", "labels", "pad_trunc", "token_shards", "tokenized"])
 def test_queries_keep_to_their_sql_with_a_joined_vocabulary(spark, monkeypatch, name):
     special, max_tokens, _, keep_text = encode.__defaults__

@@ -116,14 +116,19 @@ def conversation_rows(
 def _used_rows(documents: DataFrame, lines: DataFrame, system_prompt: str, vocab: DataFrame, seed: int, max_steps: int | None, special: SpecialTokens, length: int) -> DataFrame:
     """Rows of the plan with their ``uses`` and at most ``length`` unpadded ``ids``.
 
-    The plan is made from keys alone and joined to the raw rows, so only rows
-    it uses are cleaned, rendered and tokenized, each once.
+    The plan is made from keys alone. With a step cap it is joined to the raw
+    rows, so only rows it uses are cleaned, rendered and tokenized, each once.
+    Without one it uses all of them, and meets their ids, so no text is shuffled.
     """
     knowledge, style = knowledge_rows(documents), style_rows(lines)
     plan = batch_plan(
         knowledge.select("row_key").unionByName(style.select("row_key")), "row_key", seed, max_steps
     )
     spread = spread_small(knowledge, "row_key")
+    if max_steps is None:
+        texts = knowledge_text(spread).unionByName(style_text(style, system_prompt))
+        encoded = encode(texts, "text", vocab, "row_key", special, max_tokens=length, keep_text=False)
+        return planned_rows(encoded, plan, "row_key")
     used = knowledge_text(planned_rows(spread, plan, "row_key", max_steps)).unionByName(
         style_text(planned_rows(style, plan, "row_key", max_steps), system_prompt)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dialogmill.operators.skew import spread_join
 from dialogmill.operators.tokens import encode, encode_by_join
-from dialogmill.plans import catalog
+from dialogmill.plans import catalog, training
 
 WORDS = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]  # 64
 HOT = [f"hot{c}" for c in "abcdefgh"]
@@ -106,6 +106,26 @@ def test_a_small_batch_does_not_pay_for_the_whole_vocabulary(spark, first):
     assert time.monotonic() - start < 35  # 500 batches; 50 to 74 s when each hashed the vocabulary
 
 
+def test_a_full_epoch_shuffles_ids_and_no_texts(spark):
+    slices = spark.sparkContext.defaultParallelism
+
+    def rows(items, schema):
+        return spark.createDataFrame(spark.sparkContext.parallelize(items, slices), schema)
+
+    documents = rows([(i, f"a b {i}") for i in range(40)], "doc_id long, text string")
+    lines = rows([(f"{i}", "c d", "style") for i in range(40)], "line_key string, text string, type string")
+    vocab = spark.createDataFrame([(w, i + 3) for i, w in enumerate("abcd")], "token string, token_id int")
+    batches = training.collated_batches(documents, lines, "s", vocab)
+    assert batches.count() == 40
+
+    def exchanged(node):
+        own = [node.output().apply(i).name() for i in range(node.output().size())] if node.nodeName() == "Exchange" else []
+        return own + [n for i in range(node.children().size()) for n in exchanged(node.children().apply(i))]
+
+    names = exchanged(batches._jdf.queryExecution().executedPlan().initialPlan())
+    assert "ids" in names and "text" not in names
+
+
 @pytest.mark.parametrize("name", ["collated_from_steps", "collated", "labels", "pad_trunc", "token_shards", "tokenized"])
 def test_queries_keep_to_their_sql_with_a_joined_vocabulary(spark, monkeypatch, name):
     special, max_tokens, _, keep_text = encode.__defaults__
